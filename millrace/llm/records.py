@@ -26,7 +26,7 @@ from .common import file_system, id_ranges, shuffle_parts, work_dir
 from .tokens import encoder, le
 
 MASK = 0xA282EAD8  # fixed value of the record format's masked checksum
-HEAD, INDEX = struct.Struct("<BqI"), struct.Struct("<QQq")
+HEAD, INDEX = "<BqI", "<QQq"
 MANIFEST = "shard string, idx string, first_id long, part int, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
 #: Bytes of texts that a task encodes at a time.
@@ -59,12 +59,12 @@ def payload(doc_id: int | None, ids: bytes) -> bytes:
     """ids: little-endian u32. Stored in two bytes each if they fit."""
     a = np.frombuffer(ids, dtype="<u4")
     wide = bool(len(a) and a.max() > 0xFFFF)
-    return HEAD.pack((doc_id is not None) | wide << 1, doc_id or 0, len(a)) + (ids if wide else a.astype("<u2").tobytes())
+    return struct.pack(HEAD, (doc_id is not None) | wide << 1, doc_id or 0, len(a)) + (ids if wide else a.astype("<u2").tobytes())
 
 
 def parsed(body: bytes) -> tuple[int | None, bytes]:
-    flags, doc_id, n = HEAD.unpack_from(body)
-    ids = np.frombuffer(body, dtype="<u4" if flags & 2 else "<u2", offset=HEAD.size, count=n)
+    flags, doc_id, n = struct.unpack_from(HEAD, body)
+    ids = np.frombuffer(body, dtype="<u4" if flags & 2 else "<u2", offset=struct.calcsize(HEAD), count=n)
     return doc_id if flags & 1 else None, ids.astype("<u4").tobytes()
 
 
@@ -106,7 +106,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Da
             for ((_, doc_id), _), ids in zip(some, enc.batch([t for _, t in some])):
                 whole = frame(payload(doc_id, ids + end))
                 out.write(whole)
-                idx.write(INDEX.pack(at, len(whole), doc_id or 0))
+                idx.write(struct.pack(INDEX, at, len(whole), doc_id or 0))
                 at, docs_n, tokens = at + len(whole), docs_n + 1, tokens + len(ids) // 4 + 1
         if out is not None:
             out.close()
@@ -164,8 +164,8 @@ def random_record(spark: SparkSession, row, k: int) -> tuple[int | None, bytes]:
     """The k-th record of one manifest row, by its index: what a shuffled reader does."""
     fs, _ = file_system(row["shard"])
     with fs.open_input_file(row["idx"]) as f:
-        f.seek(k * INDEX.size)
-        at, n, _ = INDEX.unpack(f.read(INDEX.size))
+        f.seek(k * struct.calcsize(INDEX))
+        at, n, _ = struct.unpack(INDEX, f.read(struct.calcsize(INDEX)))
     with fs.open_input_file(row["shard"]) as f:
         f.seek(at)
         import io
