@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import winnow
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,30 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiset import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed, pieces
+
+    return packed(pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -43,5 +69,17 @@ def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_warc, op7_simhash, op8_embedding)}
-ORACLES: dict[str, str] = {}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_warc, op3_quality, op4_bpe, op5_fingerprints, op6_packing, op7_simhash, op8_embedding, op9_lines, op10_langid)}
+ORACLES: dict[str, str] = {"op9_lines": winnow.ORACLE}
