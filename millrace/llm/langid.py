@@ -165,6 +165,24 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "key long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("key", key)
 
 
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, score and ambiguous beside each row's own columns, without a shuffle."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", "ambiguous")
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            out = [sent.value.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            score = [s for _, s in out]
+            more = [pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())]
+            yield pa.record_batch([*b.columns, *more], [*b.schema.names, "lang_pred", "score", "ambiguous"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]))
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous: fits on docs and predicts all of them. Without any labelled row
     every prediction is und; with one language all texts with a letter are of it. Repeated rows repeat; an empty

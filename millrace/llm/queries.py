@@ -81,5 +81,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_warc, op3_quality, op4_bpe, op5_fingerprints, op6_packing, op7_simhash, op8_embedding, op9_lines, op10_langid)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_records, op2_warc, op3_quality, op4_bpe, op5_fingerprints, op6_packing, op7_simhash, op8_embedding, op9_lines, op10_langid, pipeline)}
 ORACLES: dict[str, str] = {"op9_lines": winnow.ORACLE}

@@ -71,29 +71,38 @@ def anchors(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(a), np.concatenate(i), np.concatenate(x)
 
 
-def fingerprint(words: list[bytes], width: int) -> int:
-    """A bit is set if it is in over half of the shingles' XXH64 (seed 42). No word: 0. Fewer words than width: one
-    shingle of all."""
+def shingle_hashes(words: list[bytes], width: int, part: int = 65_536) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all shingles, a bounded part at a time. Fewer words than width: one shingle of all."""
     import xxhash
 
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    h64, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        if words:
+            yield np.array([h64(joined, 42)], dtype=np.uint64)
+        return
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes).tolist()
     ends = ends.tolist()
-    h64 = xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, dtype=np.int64), len(words) - width + 1
-    for lo in range(0, n, 65_536):  # bounded memory on very long texts
-        h = np.array([h64(joined[s:e], 42) for s, e in zip(starts[lo : min(n, lo + 65_536)], ends[lo + width - 1 :])], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    n = len(words) - width + 1
+    for lo in range(0, n, part):
+        yield np.array([h64(joined[s:e], 42) for s, e in zip(starts[lo : min(n, lo + part)], ends[lo + width - 1 :])], dtype=np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """A bit is set if it is in over half of the hashes; of none: 0."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int32)
+        n += len(h)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(words: list[bytes], width: int) -> int:
+    return majority(shingle_hashes(words, width))
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z only, which is what bytes.lower() and bytes.split() do."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
