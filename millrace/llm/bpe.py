@@ -18,19 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .records import steps
-from .tokens import Encoder, le
+from .tokens import Encoder, byte_letters, le
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of byte-level BPE
 KEPT_PAIRS = 1_000_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-
-
 class OffsetTable:
     """Byte strings end to end, and where each begins: many are joined by one gather."""
 
@@ -88,8 +81,7 @@ class Bpe(Encoder):
         strings = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.table = OffsetTable(strings)
         self.decimal = OffsetTable([b"%d," % i for i in range(len(strings))])
-        self.spaced, self.first, self.rest = True, {}, {}
-        self.newline = self.whole(["\n"])[0]
+        self.start(spaced=True)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a then b stay two tokens. Undoes the later of the two merges, again and again: if the parts that
@@ -155,6 +147,9 @@ class Bpe(Encoder):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [le(self.encode(t)) for t in texts]
 
+    def _stem(self, stem: str) -> bytes:
+        return le(self.piece(stem.encode()))
+
     def decode(self, ids: np.ndarray) -> str:
         return self.table.join(ids).decode("utf-8", "replace")
 

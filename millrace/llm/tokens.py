@@ -10,13 +10,21 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
-#: Entries that a worker keeps (about 200 bytes each); beyond, it starts anew.
-KEPT = 800_000
+#: Chunks and letter stems that a worker keeps (about 200 bytes each); beyond, it starts anew.
+KEPT, KEPT_STEMS = 500_000, 900_000
 ODD = re.compile(r"\s\s|[^\S \n]|<\|")
 MARKS = ".,!?;:"
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
 def le(ids: list[int]) -> bytes:
     """ids as little-endian unsigned 32-bit integers."""
     a = array("I", ids)
@@ -30,8 +38,20 @@ def _plain(stem: str) -> bool:
     return stem.isalpha() and (stem.isascii() or max(stem) < "ɐ")
 
 
+class _Learnt(dict):
+    """Chunks and their ids; what is missing is learnt when it is first met."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
 class Encoder:
-    """ids(text) -> bytes, four a token."""
+    """batch(texts): the ids of each, as bytes, four a token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,59 +60,57 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.spaced = b'"add_prefix_space"' in self.lib.to_str().encode() and self.lib.normalizer is None
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.newline = le(self.lib.encode("\n", add_special_tokens=False).ids)
+        self.model = self.lib.model
+        letter_of = {b: c for c, b in byte_letters().items()}
+        self.letters = [letter_of[b] for b in range(256)]
+        self.start(self.lib.normalizer is None)
+
+    def start(self, spaced: bool) -> None:
+        """spaced: a word's ids hold the space before it, and case counts; else white space is dropped."""
+        self.spaced = spaced
+        self.first = _Learnt(lambda w: self._chunk("", w))
+        self.rest = _Learnt(lambda w: self._chunk(" ", w))
+        self.stems = _Learnt(self._stem)
+        self.parts = _Learnt(lambda p: self.whole([p])[0])
+        self.newline = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [le(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stem(self, stem: str) -> bytes:
+        """Letters, with the space before them: one piece, which goes to the library's model as it is."""
+        return le([t.id for t in self.model.tokenize("".join([self.letters[b] for b in stem.encode()]))])
+
+    def _chunk(self, before: str, word: str) -> bytes:
+        """Words of letters and closing marks are put together of the two, which the vocabularies split apart too."""
+        stem = word.rstrip(MARKS)
+        low = stem if self.spaced else stem.lower()
+        if _plain(stem) and _plain(low):
+            return self.stems[before + low] + (self.parts[word[len(stem) :]] if len(stem) < len(word) else b"")
+        return self.whole([before + word])[0] if before or word else b""
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
         if len(self.first) + len(self.rest) > KEPT:
             self.first.clear()
             self.rest.clear()
-        odd = [ODD.search(t) is not None for t in texts]
-        if self.spaced:
-            head, tail = set(), set()
-            cut = []
-            for t, o in zip(texts, odd):
-                lines = [] if o else [line.split(" ") for line in t.split("\n")]
-                cut.append(lines)
-                for words in lines:
-                    head.add(words[0])
-                    tail.update(words)
-            self._learn(self.first, head.difference(self.first), "")
-            self._learn(self.rest, tail.difference(self.rest), " ")
-            first, rest, nl = self.first.__getitem__, self.rest.__getitem__, self.newline
-            out = [nl.join([b"".join([first(w[0]), *map(rest, w[1:])]) for w in lines]) for lines in cut]
-        else:
-            cut = [[] if o else t.split() for t, o in zip(texts, odd)]
-            self._learn(self.first, set().union(*cut).difference(self.first), "")
-            get = self.first.__getitem__
-            out = [b"".join(map(get, words)) for words in cut]
-        for i, ids in zip([i for i, o in enumerate(odd) if o], self.whole([t for t, o in zip(texts, odd) if o])):
-            out[i] = ids
-        return out
-
-    def _learn(self, into: dict[str, bytes], words: set[str], before: str) -> None:
-        """Words of letters and closing marks are learnt as their parts, which the vocabularies split apart too."""
-        if "" in words:
-            into[""] = self.whole([before])[0] if before else b""
-            words.discard("")
-        parts: dict[str, tuple[str, str]] = {}
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if _plain(stem) and (self.spaced or _plain(stem.lower())):
-                parts[w] = (before + (stem if self.spaced else stem.lower()), w[len(stem) :])
+        if len(self.stems) > KEPT_STEMS:
+            self.stems.clear()
+        if len(self.parts) > 10_000:
+            self.parts.clear()
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        out: list[bytes] = []
+        for t in texts:
+            if ODD.search(t):
+                out += self.whole([t])
+            elif self.spaced:
+                lines = []
+                for line in t.split("\n"):
+                    words = line.split(" ")
+                    lines.append(first(words[0]) + b"".join(map(rest, words[1:])))
+                out.append(self.newline.join(lines))
             else:
-                parts[w] = (before + w, "")
-        need = list({p for pair in parts.values() for p in pair if p})
-        got = dict(zip(need, self.whole(need)))
-        got[""] = b""
-        for w, (a, b) in parts.items():
-            into[w] = got[a] + got[b]
+                out.append(b"".join(map(first, t.split())))
+        return out
 
 
 _made: dict[str, Encoder] = {}
