@@ -2,8 +2,8 @@
 
 An archive is a skippable frame that holds a Zstandard dictionary (itself a Zstandard frame), then one Zstandard
 frame per record, compressed with that dictionary, so that any record can be read alone by its offset. The first
-record is a warcinfo. The dictionary is built from records of the crawl that is archived: at most SAMPLE_BYTES of
-payloads, those with the least hashes of page_id.
+record is a warcinfo. The dictionary is built from records of the crawl that is archived: about SAMPLE_PAGES whole
+payloads of at most SAMPLE_LONGEST characters, chosen by a hash of page_id.
 
 Of pages with equal payloads the one with the largest page_id is a response and the others revisit it, found by
 counting payload digests, never by gathering the pages of one. Executors: each task writes an archive under a name of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import file_system, looked_up, work_dir, written
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame that the .warc.zst format keeps for its dictionary
-SAMPLE_BYTES, SAMPLE_EACH, DICT_BYTES, LEVEL = 4_000_000, 200_000, 112_640, 3
+SAMPLE_PAGES, SAMPLE_LONGEST, DICT_BYTES, LEVEL = 400, 20_000, 112_640, 3
 #: Bytes of an archive after which a task begins another.
 ROLL = 1 << 30
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -59,13 +59,14 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, payload_di
 
 
 def trained(pages: DataFrame) -> bytes:
-    """The dictionary, of the records with the least hashes; b"" if there is too little to build one from. The rows
-    that reach the driver hold SAMPLE_BYTES at most."""
+    """The dictionary; b"" if there is too little to build one from. The rows that reach the driver are bounded by
+    their number and length, however many pages there are."""
     import zstandard
 
-    n = SAMPLE_BYTES // SAMPLE_EACH * 20
-    some = pages.select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, SAMPLE_EACH // 20).alias("html")).where("length(html) > 0").orderBy("h", "html").limit(n).collect()
-    texts = [r.html.encode() for r in some]
+    usable = pages.where(F.length("html").between(1, SAMPLE_LONGEST))
+    share = SAMPLE_PAGES / max(1, usable.count())
+    picked = usable.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < share * (1 << 30)).select("html").limit(2 * SAMPLE_PAGES).collect()
+    texts = sorted(r.html.encode("utf-8", "surrogatepass") for r in picked)
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, texts)) // 20)), texts).as_bytes()
     except zstandard.ZstdError:
