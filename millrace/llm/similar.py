@@ -8,8 +8,10 @@ hundred. Documents of one passage class (fingerprints linked within k bits) are
 by the fingerprints of their whole texts and the numbers of their shingles, which rules out nearly all that share a
 passage by chance, then by their shingles, exactly.
 
-A class is compared in tiles, so that no task holds more than two of them, and only links that connect its documents
-are put out, at most one per document and tile. Texts of equal words are one node from the start."""
+A passage that more than TILE documents share says little by itself: there, documents must share a second one, and are
+classed by both. What is still large then are groups of near copies. A class is compared in tiles, so that no task
+holds more than two of them, and only links that connect its documents are put out, at most one per document and tile.
+Texts of equal words are one node from the start."""
 
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ from .components import connected
 from .embedding import _stars
 from .simhash import ascii_words, links, majority, shingle_hashes
 
-WIDTH, LEAST, PASSAGES, BITS = 5, 0.8, 5, 2
+WIDTH, LEAST, PASSAGES, BITS = 5, 0.8, 5, 1
 #: Whole-text fingerprints of texts alike by 0.8 differ in 10 bits with a deviation of 3.
 FAR_BITS = 22
 TILE = 512
@@ -144,6 +146,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("group", F.when(whole, F.pmod(F.xxhash64("mark", F.lit(3)), F.lit(groups))).otherwise(F.col("mark"))).drop("other", "c")
 
 
+def _specific(marks: DataFrame) -> DataFrame:
+    """marks(node, fp, n, mark) with marks of more than TILE documents replaced by their pairs with each other mark of
+    the document, at most PASSAGES - 1 each; a document's only mark stays."""
+    sizes = marks.groupBy("mark").agg(F.count("*").alias("c"))
+    sized = looked_up(marks, written(sizes.withColumn("rows", F.col("c")), "sizes"), "mark", "rows")
+    nodes = sized.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.collect_list(F.struct("mark", "c")).alias("ms"))
+    own = F.expr(f"""array_distinct(flatten(transform(ms, x -> IF(x.c <= {TILE} OR size(ms) = 1, array(x.mark),
+        transform(filter(ms, y -> y.mark <> x.mark), y -> xxhash64('pair', least(x.mark, y.mark), greatest(x.mark, y.mark)))))))""")
+    return nodes.select("node", "fp", "n", F.explode(own).alias("mark"))
+
+
 def _promising(t):
     """mark, node of the documents that the sketches can't tell from another one of their class."""
     import pyarrow as pa
@@ -192,7 +205,7 @@ def similar(docs: DataFrame) -> DataFrame:
     prints = written(marks.select(F.col("mark").alias("fp")).distinct(), "prints")
     near = connected(links(prints, BITS)).withColumnRenamed("node", "mark")
     marks = marks.join(near, "mark", "left").withColumn("mark", F.coalesce("component", "mark")).drop("component")
-    marks = written(marks.dropDuplicates(["mark", "node"]), "marks")
+    marks = written(_specific(written(marks.dropDuplicates(["mark", "node"]), "marks")), "marks")
     hopeful = written(_dealt(marks).groupBy("group", "lo", "hi").applyInArrow(_promising, "mark long, node long").distinct(), "hopeful")
     wanted = written(nodes.join(hopeful.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
