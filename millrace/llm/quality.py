@@ -27,7 +27,8 @@ OPEN, CLOSE = "\x02", "\x03"
 SYMBOLS = 1024
 SHARD_ROWS = 200_000
 LOADED = 24  # shards that a worker holds at a time, 16 bytes a row
-KEPT = 500_000
+#: Words, and n-grams, of all languages that a worker keeps the costs of; words that a task counts before it passes them on.
+KEPT = 300_000
 #: Characters of median text that are added to each document, so that a few words alone don't condemn it.
 PRIOR = 40
 #: The bound is this many interquartile ranges above the upper quartile.
@@ -179,9 +180,9 @@ class Scorer:
         self.grams.setdefault(lang, {}).update(zip(grams, (-logp).tolist()))
 
     def learn_words(self, lang: str, words: set[str]) -> None:
+        if sum(map(len, self.grams.values())) > KEPT:
+            self.grams.clear()
         known = self.grams.setdefault(lang, {})
-        if len(known) > KEPT:
-            known.clear()
         cut = {w: [s[i : i + ORDER] for i in range(len(w) + 1)] for w in words for s in (OPEN * (ORDER - 1) + w + CLOSE,)}
         if need := set().union(*cut.values()).difference(known):
             self.learn_grams(lang, list(need))
@@ -192,9 +193,9 @@ class Scorer:
         words, total, n = text.split(), 0.0, 0
         for lo in range(0, len(words), 100_000):
             some = words[lo : lo + 100_000]
+            if sum(map(len, self.words.values())) > KEPT:
+                self.words.clear()
             known = self.words.setdefault(lang, {})
-            if len(known) > KEPT:
-                known.clear()
             if need := set(some).difference(known):
                 self.learn_words(lang, need)
             total += sum(map(known.__getitem__, some))
