@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_only
 from .records import steps
 from .tokens import Encoder, byte_letters, le
 
@@ -154,14 +155,9 @@ class Bpe(Encoder):
         return self.table.join(ids).decode("utf-8", "replace")
 
 
-_made: dict[str, Bpe] = {}
-
-
 def bpe(path: str) -> Bpe:
     """This worker's encoder for a vocabulary; it outlives the task."""
-    if path not in _made:
-        _made[path] = Bpe(path)
-    return _made[path]
+    return worker_only("bpe", path, lambda: Bpe(path))
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:

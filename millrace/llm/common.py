@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_slot: dict[tuple, object] = {}
+
+
+def worker_only(kind: str, key: str, make):
+    """What a Python worker keeps from task to task: the object last asked for, and no other. Workers outlive stages,
+    so that without this the caches of one stage would stay in memory during the next."""
+    if (kind, key) not in _slot:
+        _slot.clear()
+        _slot[kind, key] = make()
+    return _slot[kind, key]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset (one
     machine, as in tests) is a temp folder taken instead."""

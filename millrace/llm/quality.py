@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, work_dir, written
+from .common import file_system, work_dir, worker_only, written
 
 ORDER = 5
 OPEN, CLOSE = "\x02", "\x03"
@@ -28,7 +28,7 @@ SYMBOLS = 1024
 SHARD_ROWS = 200_000
 LOADED = 24  # shards that a worker holds at a time, 16 bytes a row
 #: Words, and n-grams, of all languages that a worker keeps the costs of; words that a task counts before it passes them on.
-KEPT = 300_000
+KEPT = 250_000
 #: Characters of median text that are added to each document, so that a few words alone don't condemn it.
 PRIOR = 40
 #: The bound is this many interquartile ranges above the upper quartile.
@@ -203,15 +203,9 @@ class Scorer:
         return total, n
 
 
-_made: dict[str, Scorer] = {}
-
-
 def scorer(path: str, shards: int) -> Scorer:
     """This worker's view of a model; it outlives the task."""
-    if path not in _made:
-        _made.clear()
-        _made[path] = Scorer(path, shards)
-    return _made[path]
+    return worker_only("scorer", path, lambda: Scorer(path, shards))
 
 
 def costs(docs: DataFrame, path: str) -> DataFrame:

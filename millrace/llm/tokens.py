@@ -12,8 +12,10 @@ import sys
 from array import array
 from collections.abc import Callable
 
+from .common import worker_only
+
 #: Chunks and letter stems that a worker keeps (about 200 bytes each); beyond, it starts anew.
-KEPT, KEPT_STEMS = 500_000, 900_000
+KEPT, KEPT_STEMS = 400_000, 700_000
 ODD = re.compile(r"\s\s|[^\S \n]|<\|")
 MARKS = ".,!?;:"
 
@@ -113,11 +115,6 @@ class Encoder:
         return out
 
 
-_made: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file; it outlives the task."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    return worker_only("encoder", path, lambda: Encoder(path))
