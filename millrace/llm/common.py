@@ -25,6 +25,13 @@ def worker_only(kind: str, key: str, make):
     return _slot[kind, key]
 
 
+def slices(batches, rows: int = 1_000):
+    """Arrow batches in pieces of so many rows, so that only one piece is held as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset (one
     machine, as in tests) is a temp folder taken instead."""

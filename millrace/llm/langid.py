@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 BIGRAMS, TRIGRAMS = 1 << 16, 1 << 17
 #: Documents of each language that are learnt from: about so many, those with the least hashes of doc_id.
@@ -157,7 +157,7 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             out = [sent.value.predict(t) for t in b.column(1).to_pylist()]
             score = [s for _, s in out]
             yield pa.record_batch([b.column(0), pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], ["key", "lang_pred", "score", "ambiguous"])
@@ -174,7 +174,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "ambiguous")
 
     def run(batches: Iterator) -> Iterator:
-        for b in batches:
+        for b in slices(batches):
             out = [sent.value.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             score = [s for _, s in out]
             more = [pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())]

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, work_dir, worker_only, written
+from .common import file_system, slices, work_dir, worker_only, written
 
 ORDER = 5
 OPEN, CLOSE = "\x02", "\x03"
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
             sums.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums.setdefault(lang, Counter()).update(text.split())
                 if sum(map(len, sums.values())) > KEPT:
@@ -216,7 +216,7 @@ def costs(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         s = scorer(path, shards)
-        for b in batches:
+        for b in slices(batches):
             got = [s.cost(lang, t) if lang is not None and t is not None else (0.0, 0) for lang, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.record_batch([*b.columns[:3], pa.array([c for c, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64()), pa.array([t is not None and not t.isspace() and t != "" for t in b.column(3).to_pylist()], pa.bool_())], ["doc_id", "th", "lang", "cost", "n", "wordy"])
 

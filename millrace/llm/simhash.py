@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, looked_up, written
+from .common import drop_written, looked_up, slices, written
 from .components import connected
 
 GOLAY = 0b101011100011  # fixed value: generator polynomial of the (23, 12) Golay code, x^11+x^9+x^7+x^6+x^5+x+1
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(ascii_words(t), width) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.record_batch({"key": b.column(0), "fp": pa.array(fps.view(np.int64))})
 

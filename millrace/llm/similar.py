@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, written
+from .common import looked_up, slices, written
 from .components import connected
 from .embedding import _stars
 from .simhash import ascii_words, links, majority, shingle_hashes
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             got = [sketch(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), *[pa.array([_signed(g[i]) for g in got], pa.int64()) for i in (0, 1, 2)], pa.array([list(map(_signed, g[3])) for g in got], pa.list_(pa.int64()))], ["doc_id", "th", "node", "fp", "n", "marks"])
 
