@@ -3,32 +3,39 @@
 At a similarity of 0.8 the fingerprints of two whole texts differ in about ten bits, where covering anchors would have
 to be replicated over a hundred thousand times. So the anchors take fingerprints of passages: a text is cut where a
 hash of a word says so, in about ten words each, and the PASSAGES of least hash stand for it. An edit spoils the
-passage that it falls in and no other, so that texts as alike as 0.8 share one of theirs but for about one pair in a
-hundred. Documents of one passage class (fingerprints linked within k bits) are then held against each other: first
-by the fingerprints of their whole texts and the numbers of their shingles, which rules out nearly all that share a
-passage by chance, then by their shingles, exactly.
-
-A passage that more than TILE documents share says little by itself: there, documents must share a second one, and are
-classed by both. What is still large then are groups of near copies. A class is compared in tiles, so that no task
-holds more than two of them, and only links that connect its documents are put out, at most one per document and tile.
+passage that it falls in and no other, so most texts as alike as 0.8 share one of theirs. Documents of one passage
+class (fingerprints linked within k bits) are then held against each other: first by the numbers of their shingles, in
+all and at each of PLACES places, which can't differ by more than the sets do; that rules out nearly all that share a
+passage by chance and none that is alike. Then by their shingles, exactly.
+
+Passages only find most links cheaply; the rest is found by a second, exact way. Put the shingles of all texts in one
+order, those that are common in a sample last: two texts as alike as LEAST share one of their first n - ceil(LEAST n) + 1
+(prefixed()). So texts that share a shingle there, and aren't connected yet, are held against each other as well,
+whatever passages they have. The sample only moves work, no result.
+
+A passage that more than TILE documents share says little by itself: there, passages find those that share a second
+one, and the second way finds the others. A class is compared in tiles, so that no task holds more than two of them,
+and only links that connect its documents are put out, at most one per document and tile.
 Texts of equal words are one node from the start."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, slices, written
+from .common import drop_written, looked_up, slices, written
 from .components import connected
 from .embedding import _stars
 from .simhash import ascii_words, links, majority, shingle_hashes
 
 WIDTH, LEAST, PASSAGES, BITS = 5, 0.8, 5, 1
-#: Whole-text fingerprints of texts alike by 0.8 differ in 10 bits with a deviation of 3.
-FAR_BITS = 22
+PLACES = 256
+#: About so many texts are sampled for common shingles, of which so many at most are ordered last.
+SAMPLE, COMMON = 10_000, 250_000
 TILE = 512
 #: Rows of small classes that are compared in one task together.
 BUCKET = 4096
@@ -49,16 +56,40 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
     return out
 
 
+def distinct_shingles(words: list[bytes]) -> np.ndarray:
+    parts = list(shingle_hashes(words, WIDTH))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def tally(grams: np.ndarray) -> bytes:
+    """How many of a set's shingles are at each of PLACES places, 255 at most. The sum of the differences of two sets'
+    is at most the number of shingles that only one of them has."""
+    return np.minimum(np.bincount((grams >> np.uint64(32)).astype(np.int64) % PLACES, minlength=PLACES), 255).astype(np.uint8).tobytes()
+
+
+def first_shingles(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set (sorted) that another as alike as LEAST has one of among its own: n - ceil(LEAST n) + 1, in
+    the order of how often they are in the sample, then by hash. common: sorted shingles, and how often each is."""
+    n = len(grams)
+    values, often = common
+    rank = np.zeros(n, dtype=np.int64)
+    if n and len(values):
+        at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
+        rank = np.where(values[at] == grams, often[at], 0)
+    return grams[np.lexsort((grams, rank))[: n - math.ceil(LEAST * n - 1e-9) + 1]] if n else grams
+
+
 def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
-    """The node (a hash of the words in order), whole fingerprint, number of different shingles, and the fingerprints
+    """The node (a hash of the words in order), the tally, number of different shingles, and the fingerprints
     of the passages that stand for the text."""
+    words = ascii_words(text)
+    return _sketch(words, distinct_shingles(words))
+
+
+def _sketch(words: list[bytes], grams: np.ndarray) -> tuple[int, int, int, list[int]]:
     import xxhash
 
-    words = ascii_words(text)
-    joined = b" ".join(words)
-    node = xxhash.xxh64_intdigest(joined, 7)
-    parts = list(shingle_hashes(words, WIDTH))
-    n = len(np.unique(np.concatenate(parts))) if parts else 0
+    node = xxhash.xxh64_intdigest(b" ".join(words), 7)
     cut = passages(words)
     best = sorted((xxhash.xxh64_intdigest(b" ".join(p), 9), k) for k, p in enumerate(cut))
     some = []
@@ -67,25 +98,54 @@ def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
             some.append((h, k))
         if len(some) == PASSAGES:
             break
-    return node, majority(iter(parts)), n, [majority(shingle_hashes(cut[k], WIDTH)) for _, k in some]
+    return node, int.from_bytes(tally(grams), "little"), len(grams), [majority(shingle_hashes(cut[k], WIDTH)) for _, k in some]
 
 
 def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur more than once in a sample of the texts: at most COMMON, sorted, and in how many."""
+    import pyarrow as pa
+
+    part = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(part)) == 0).select("text").where("text is not null").distinct()
+
+    def run(batches: Iterator) -> Iterator:
+        for b in slices(batches, 200):
+            grams = [distinct_shingles(ascii_words(t)) for t in b.column(0).to_pylist()]
+            yield pa.record_batch({"gram": pa.array(np.concatenate(grams).view(np.int64) if grams else [], pa.int64())})
+
+    counts = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    grams, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), node, fp, n, marks (passages' fingerprints) of each row."""
+    """doc_id, th (hash of the text), node, bits (the tally), n, marks (passages' fingerprints), first (the shingles of
+    first_shingles()) of each row."""
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in slices(batches):
-            got = [sketch(t) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), *[pa.array([_signed(g[i]) for g in got], pa.int64()) for i in (0, 1, 2)], pa.array([list(map(_signed, g[3])) for g in got], pa.list_(pa.int64()))], ["doc_id", "th", "node", "fp", "n", "marks"])
+        for b in slices(batches, 200):
+            cols: list[list] = [[], [], [], [], []]
+            for t in b.column(2).to_pylist():
+                words = ascii_words(t)
+                grams = distinct_shingles(words)
+                node, bits, n, marks = _sketch(words, grams)
+                for c, v in zip(cols, (_signed(node), bits.to_bytes(PLACES, "little"), n, list(map(_signed, marks)), first_shingles(grams, common.value).view(np.int64))):
+                    c.append(v)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, cols, kinds)], ["doc_id", "th", "node", "bits", "n", "marks", "first"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, node long, fp long, n long, marks array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, node long, bits binary, n long, marks array<long>, first array<long>")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -99,16 +159,35 @@ def shingles(docs: DataFrame) -> DataFrame:
                 part = b.slice(lo, 500)
                 grams = []
                 for t in part.column(1).to_pylist():
-                    hs = list(shingle_hashes(ascii_words(t), WIDTH))
-                    grams.append(np.unique(np.concatenate(hs)).view(np.int64) if hs else np.empty(0, np.int64))
+                    grams.append(distinct_shingles(ascii_words(t)).view(np.int64))
                 yield pa.record_batch([part.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def alike_by_sketch(fp: np.ndarray, n: np.ndarray) -> np.ndarray:
-    far = np.bitwise_count(fp[:, None] ^ fp[None])
-    return (far <= FAR_BITS) & (np.minimum(n[:, None], n) >= LEAST * np.maximum(n[:, None], n))
+def alike_by_sketch(bits: np.ndarray, n: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of sets (among those of also) that sizes and tallies (a row each) leave possible: similar ones differ in
+    at most (1 - LEAST) / (1 + LEAST) of the sum of their sizes."""
+    out = np.triu(np.minimum(n[:, None], n) >= LEAST * np.maximum(n[:, None], n) - 1e-9, 1)
+    if also is not None:
+        out &= also
+    i, j = np.nonzero(out)
+    for lo in range(0, len(i), 20_000):
+        a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+        far = np.abs(bits[a].astype(np.int16) - bits[b]).sum(axis=1, dtype=np.int64)
+        out[a, b] = far <= (1 - LEAST) / (1 + LEAST) * (n[a] + n[b]) + 1e-9
+    return out | out.T
+
+
+def together(ok: np.ndarray) -> np.ndarray:
+    """The least index that each can be reached from over the pairs of ok (symmetric)."""
+    label, links = np.arange(len(ok)), ok | np.eye(len(ok), dtype=bool)
+    while True:
+        new = np.where(links, label, len(ok)).min(axis=1)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
 def alike(grams: list[np.ndarray]) -> np.ndarray:
@@ -147,30 +226,44 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _specific(marks: DataFrame) -> DataFrame:
-    """marks(node, fp, n, mark) with marks of more than TILE documents replaced by their pairs with each other mark of
+    """marks(node, bits, n, mark) with marks of more than TILE documents replaced by their pairs with each other mark of
     the document, at most PASSAGES - 1 each; a document's only mark stays."""
     sizes = marks.groupBy("mark").agg(F.count("*").alias("c"))
     sized = looked_up(marks, written(sizes.withColumn("rows", F.col("c")), "sizes"), "mark", "rows")
-    nodes = sized.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.collect_list(F.struct("mark", "c")).alias("ms"))
+    nodes = sized.groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"), F.collect_list(F.struct("mark", "c")).alias("ms"))
     own = F.expr(f"""array_distinct(flatten(transform(ms, x -> IF(x.c <= {TILE} OR size(ms) = 1, array(x.mark),
         transform(filter(ms, y -> y.mark <> x.mark), y -> xxhash64('pair', least(x.mark, y.mark), greatest(x.mark, y.mark)))))))""")
-    return nodes.select("node", "fp", "n", F.explode(own).alias("mark"))
+    return nodes.select("node", "bits", "n", F.explode(own).alias("mark"))
 
 
 def _promising(t):
-    """mark, node of the documents that the sketches can't tell from another one of their class."""
+    """mark, node of the documents that the sketches can't tell from another one of their class, and that aren't
+    connected to it yet (component; pos: the place of the mark in the order of the document's shingles). The mark is
+    one of the set of documents to compare, so that those that meet in many classes are compared once."""
     import pyarrow as pa
+    import xxhash
 
-    mark, node, fp, n = (t.column(c).to_numpy() for c in ("mark", "node", "fp", "n"))
-    order = np.argsort(mark, kind="stable")
+    mark, node, n = (t.column(c).to_numpy() for c in ("mark", "node", "n"))
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+    apart, pos = (t.column(c).to_numpy() if c in t.column_names else None for c in ("component", "pos"))
+    order = np.lexsort((node, mark))
     cuts = np.nonzero(np.diff(mark[order], prepend=mark[order[0]] + 1))[0].tolist() + [len(order)]
-    keep = np.zeros(len(order), dtype=bool)
+    out: set[tuple[int, int]] = set()
     for i, j in zip(cuts, cuts[1:]):
-        own = order[i:j]
-        ok = alike_by_sketch(fp[own].view(np.uint64), n[own])
-        np.fill_diagonal(ok, False)
-        keep[own] = ok.any(axis=1)
-    return pa.table({"mark": pa.array(mark[keep]), "node": pa.array(node[keep])})
+        own, also = order[i:j], None
+        if apart is not None:
+            # at the first shingle that two sets share, no more can be shared than it and what follows in both
+            rest, size = n[own] - pos[own], n[own]
+            also = (apart[own][:, None] != apart[own]) & (np.minimum(rest[:, None], rest) >= LEAST / (1 + LEAST) * (size[:, None] + size) - 1e-9)
+        ok = alike_by_sketch(bits[own], n[own], also)
+        some = ok.any(axis=1)
+        own, ok = own[some], ok[np.ix_(some, some)]
+        label = together(ok) if len(own) else own
+        for first in np.unique(label).tolist():
+            some = node[own[label == first]]
+            key = _signed(xxhash.xxh64_intdigest(some.tobytes(), 11))
+            out.update((key, x) for x in some.tolist())
+    return pa.table({"mark": pa.array([k for k, _ in out], pa.int64()), "node": pa.array([x for _, x in out], pa.int64())})
 
 
 def _linked(t):
@@ -190,28 +283,47 @@ def _linked(t):
     return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
 
 
+def prefixed(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """mark, node, bits, n, component, pos of nodes that share one of their first shingles with one that near (node,
+    component) doesn't connect them to. Every pair as alike as LEAST that isn't connected meets at one."""
+    posts = nodes.join(near, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.posexplode("first").alias("pos", "mark"))
+    posts = written(posts, "posts")
+    mixed = written(posts.groupBy("mark").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("mark"), "mixed")
+    some = written(posts.join(mixed, "mark", "left_semi"), "posts")
+    drop_written(posts)
+    return written(some.join(nodes.select("node", "bits"), "node"), "posts")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """a, b: links that connect the documents of each class of marks that are alike."""
+    dealt = _dealt(marks)
+    columns = [c for c in ("group", "lo", "hi", "mark", "node", "bits", "n", "component", "pos") if c in dealt.columns]
+    hopeful = written(dealt.select(columns).groupBy("group", "lo", "hi").applyInArrow(_promising, "mark long, node long").distinct(), "hopeful")
+    wanted = written(nodes.join(hopeful.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep_id) & (texts.th == wanted.rep_th)).select("node", "text")
+    grams = written(shingles(texts).dropDuplicates(["node"]), "grams")
+    return written(_dealt(hopeful).join(grams, "node").groupBy("group", "lo", "hi").applyInArrow(_linked, "a long, b long"), "links")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, th, component (a struct of the least doc_id and its th), kept of each row of docs(doc_id, text), where
     th is a hash of the text.
 
     Linked are texts of equal words (lower-cased A-Z; so all without a word are), and pairs with a Jaccard similarity
-    of LEAST or more of their sets of WIDTH-word shingles that share a passage. kept: the document of the least id of
+    of LEAST or more of their sets of WIDTH-word shingles. kept: the document of the least id of
     its component. Rows equal in id and text are one document; null ids come first; very long texts are taken whole;
     an empty table gives no row; other columns are ignored."""
     rows = written(sketches(docs), "sketches")
     doc = F.struct("doc_id", "th")
-    nodes = written(rows.groupBy("node").agg(F.min(doc).alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.count("*").alias("rows")), "nodes")
-    marks = nodes.select("node", "fp", "n", F.explode("marks").alias("mark"))
+    nodes = written(rows.groupBy("node").agg(F.min(doc).alias("rep"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("first").alias("first"), F.count("*").alias("rows")), "nodes")
+    marks = nodes.select("node", "bits", "n", F.explode("marks").alias("mark"))
     prints = written(marks.select(F.col("mark").alias("fp")).distinct(), "prints")
     near = connected(links(prints, BITS)).withColumnRenamed("node", "mark")
     marks = marks.join(near, "mark", "left").withColumn("mark", F.coalesce("component", "mark")).drop("component")
     marks = written(_specific(written(marks.dropDuplicates(["mark", "node"]), "marks")), "marks")
-    hopeful = written(_dealt(marks).groupBy("group", "lo", "hi").applyInArrow(_promising, "mark long, node long").distinct(), "hopeful")
-    wanted = written(nodes.join(hopeful.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep_id) & (texts.th == wanted.rep_th)).select("node", "text")
-    grams = written(shingles(texts).dropDuplicates(["node"]), "grams")
-    pairs = _dealt(hopeful).join(grams, "node").groupBy("group", "lo", "hi").applyInArrow(_linked, "a long, b long")
+    pairs = _links(docs, nodes, marks)
+    pairs = pairs.unionByName(_links(docs, nodes, prefixed(nodes, connected(pairs))))
     joined = nodes.select("node", "rep", "rows").join(connected(pairs), "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
     table = written(joined.select("node", "root", "rows").join(least, "root").select("node", "component", "rows"), "components")

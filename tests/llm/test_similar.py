@@ -73,3 +73,15 @@ def test_passages_keep_all_words():
         cut = similar.passages(words)
         assert [w for p in cut for w in p] == words and all(len(p) <= 40 for p in cut) and all(len(p) >= 4 for p in cut[:-1])
     assert similar.sketch(None) == (xxhash.xxh64_intdigest(b"", 7), 0, 0, [])
+
+
+def test_large_groups_share_one_passage(spark, monkeypatch):
+    """More copies of a short text than a tile holds, each with an ending of its own."""
+    monkeypatch.setattr(similar, "TILE", 16)
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([20, 40]))]
+        rows += [" ".join(base + [f"e{rnd.randrange(10**6)}" for _ in range(rnd.choice([1, 2]))]) for _ in range(60)] + [" ".join(base)]
+    rows = list(enumerate(rows))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
