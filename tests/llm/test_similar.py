@@ -85,3 +85,15 @@ def test_large_groups_share_one_passage(spark, monkeypatch):
         rows += [" ".join(base + [f"e{rnd.randrange(10**6)}" for _ in range(rnd.choice([1, 2]))]) for _ in range(60)] + [" ".join(base)]
     rows = list(enumerate(rows))
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_short_texts_without_a_common_passage(spark):
+    """Pairs at a similarity of 0.8 or more, of few passages each."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(300):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([15, 20, 25, 30]))]
+        copy = [f"v{k}", *base] if k % 3 else [*base[1:], f"v{k}"]
+        rows += [" ".join(base), " ".join(copy)]
+    rows = list(enumerate(rows))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
