@@ -97,3 +97,10 @@ def test_short_texts_without_a_common_passage(spark):
         rows += [" ".join(base), " ".join(copy)]
     rows = list(enumerate(rows))
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_repeats_within_a_text_do_not_count(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + [f"p{i}" for i in range(8)] * 60))]
+    assert len({c for _, c in brute(rows)}) == 1
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
