@@ -6,7 +6,7 @@ or taken out by one addition or subtraction: the edited text's fingerprint is ma
 edit touches alone.
 
 The first lanes (EXACT, modulo 2^32) come from an extendable hash of the paragraph and decide equality. The others
-(SKETCH, modulo 2^16) count the paragraph's 12-byte windows with signs, so that the cosine of two documents' lanes
+(SKETCH, modulo 2^32) count the paragraph's 12-byte windows with signs, so that the cosine of two documents' lanes
 estimates how much text they share, whichever the paragraphs."""
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 
 
 class Fingerprint:
-    """exact: EXACT lanes of u32; sketch: SKETCH lanes of u16."""
+    """exact: EXACT lanes of u32; sketch: SKETCH lanes of u32."""
 
     __slots__ = ("exact", "sketch")
 
@@ -40,7 +40,7 @@ class Fingerprint:
         return Fingerprint(self.exact - other.exact, self.sketch - other.sketch)
 
     def __str__(self) -> str:
-        return base64.b64encode(self.exact.astype("<u4").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.exact.astype("<u4").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     def same(self, other: Fingerprint) -> bool:
         return np.array_equal(self.exact, other.exact) and np.array_equal(self.sketch, other.sketch)
@@ -49,7 +49,7 @@ class Fingerprint:
         """1 if the fingerprints are equal, else the cosine of their sketches, at least 0 and less than 1."""
         if self.same(other):
             return 1.0
-        a, b = (x.sketch.view(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.sketch.view(np.int32).astype(np.float64) for x in (self, other))
         size = np.sqrt((a @ a) * (b @ b))
         return float(min(max(a @ b / size, 0.0), 1 - 1e-6)) if size else 0.0
 
@@ -80,7 +80,7 @@ def of_paragraphs(paragraphs: list[str]) -> Fingerprint:
             h = (h ^ h >> np.uint64(29)) * K3
             lane = (h >> np.uint64(57)).astype(np.int64)
             sketch += np.bincount(lane, minlength=SKETCH) - 2 * np.bincount(lane[(h >> np.uint64(40) & np.uint64(1)).astype(bool)], minlength=SKETCH)
-    return Fingerprint(exact, (sketch & 0xFFFF).astype(np.uint16))
+    return Fingerprint(exact, (sketch & 0xFFFFFFFF).astype(np.uint32))
 
 
 def of_text(text: str) -> Fingerprint:

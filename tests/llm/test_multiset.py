@@ -46,3 +46,10 @@ def test_multiset_laws():
     assert not f([a, a]).same(f([a])) and not f([a, b]).same(f([a + "\n" + b])) and f([]).same(f([a]) - f([a]))
     long = ["x" * 5_000_000, "word " * 1_000_000]
     assert f(long).same(f(long[:1]) + f(long[1:]))
+
+
+def test_many_equal_windows():
+    """A window that occurs more often than 16 bits count."""
+    text = "abc " * 40_000
+    edited, _, _ = multiset.edit(text, "something else")
+    assert multiset.of_text(text).likeness(multiset.of_text(edited)) > 0.99
