@@ -148,7 +148,7 @@ class Bpe(Encoder):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [le(self.encode(t)) for t in texts]
 
-    def _stem(self, stem: str) -> bytes:
+    def stem(self, stem: str) -> bytes:
         return le(self.piece(stem.encode()))
 
     def decode(self, ids: np.ndarray) -> str:

@@ -29,8 +29,8 @@ MASK = 0xA282EAD8  # fixed value of the record format's masked checksum
 HEAD, INDEX = "<BqI", "<QQq"
 MANIFEST = "shard string, idx string, first_id long, part int, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
-#: Bytes of texts that a task encodes at a time.
-STEP = 4_000_000
+#: Characters of texts that a task encodes at a time.
+STEP = 2_000_000
 
 
 def masked(data: bytes) -> int:
