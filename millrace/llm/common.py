@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The setting by which Spark deletes the shuffle files of a query at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of an Arrow batch at most.
+ARROW, ROWS, BYTES = "spark.sql.execution.arrow.", 2_000, 2_000_000
 _slot: dict[tuple, object] = {}
 
 
@@ -25,6 +29,47 @@ def worker_only(kind: str, key: str, make):
     return _slot[kind, key]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends rows to Python in batches of at most ROWS and BYTES, or less if it is set so.
+    Batches are held outside of the JVM's heap, several copies at a time, where nothing else bounds them."""
+    conf = df.sparkSession.conf
+    for name, most in ((ARROW + "maxRecordsPerBatch", ROWS), (ARROW + "maxBytesPerBatch", BYTES)):
+        now = conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
+def release() -> None:
+    """Gives up what this worker keeps: for stages that keep nothing themselves."""
+    _slot.clear()
+
+
+def text_slices(batches, column: int, rows: int = 500, size: int = 4_000_000):
+    """Arrow batches in pieces of at most so many rows, and about so many bytes of the column's texts."""
+    for b in batches:
+        for lo, n in _cut(b.column(column), rows, size):
+            yield b.slice(lo, n)
+
+
+def array_slices(texts, rows: int = 500, size: int = 4_000_000):
+    """An Arrow array of texts in such pieces."""
+    for lo, n in _cut(texts, rows, size):
+        yield texts.slice(lo, n)
+
+
+def _cut(texts, rows: int, size: int):
+    import pyarrow.compute as pc
+
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = held[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(held, before + size, side="right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
 def slices(batches, rows: int = 1_000):
     """Arrow batches in pieces of so many rows, so that only one piece is held as Python objects."""
     for b in batches:
@@ -41,10 +86,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Writes df, and has Spark delete the shuffle files of that job at its end: nobody reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN)
+    conf.set(CLEAN, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        conf.set(CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation before it."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     out = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
     out._millrace_path = path
     return out

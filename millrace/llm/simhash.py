@@ -8,7 +8,7 @@ together where one of them is at home. There the two are compared over all 64 bi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, looked_up, slices, written
+from .common import drop_written, looked_up, slices, small_batches, written
 from .components import connected
 
 GOLAY = 0b101011100011  # fixed value: generator polynomial of the (23, 12) Golay code, x^11+x^9+x^7+x^6+x^5+x+1
@@ -99,6 +99,16 @@ def majority(hashes: Iterator[np.ndarray]) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """majority() of each run of hashes that begins at one of starts, all of which are not empty."""
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    sizes = np.diff(np.append(starts, len(hashes)))
+    return np.packbits(votes * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
 def fingerprint(words: list[bytes], width: int) -> int:
     return majority(shingle_hashes(words, width))
 
@@ -118,7 +128,7 @@ def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "
             fps = np.fromiter((fingerprint(ascii_words(t), width) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.record_batch({"key": b.column(0), "fp": pa.array(fps.view(np.int64))})
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long")
+    return small_batches(docs).select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long")
 
 
 def replicas(classes: DataFrame, k: int) -> DataFrame:
@@ -134,7 +144,7 @@ def replicas(classes: DataFrame, k: int) -> DataFrame:
                 a, i, x = anchors(some, k)
                 yield pa.record_batch({"anchor": pa.array(a.astype(np.int32)), "fp": pa.array(some[i].view(np.int64)), "home": pa.array(x == 0)})
 
-    return classes.select("fp").mapInArrow(run, "anchor int, fp long, home boolean")
+    return small_batches(classes).select("fp").mapInArrow(run, "anchor int, fp long, home boolean")
 
 
 def heavy_links(fps: DataFrame, k: int) -> DataFrame:
@@ -152,11 +162,10 @@ def heavy_links(fps: DataFrame, k: int) -> DataFrame:
     return reach.join(least, "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def links(classes: DataFrame, k: int, agree: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def links(classes: DataFrame, k: int) -> DataFrame:
     """a, b: pairs of distinct fingerprints (long fp of classes) within k bits; where more than HEAVY are at home at
     an anchor, links that connect the same fingerprints instead. The work at an anchor is at most HEAVY times the
-    fingerprints there, so a large group of near copies stays linear. agree: a further test of pairs, which then
-    are all compared."""
+    fingerprints there, so a large group of near copies stays linear."""
     near = written(replicas(classes, k), "replicas")
     home = near.where("home").select("anchor", F.col("fp").alias("own"))
     heavy = written(home.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor"), "heavy")
