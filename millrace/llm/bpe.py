@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_only
+from .common import small_batches, worker_only
 from .records import steps
 from .tokens import Encoder, byte_letters, le
 
@@ -210,4 +210,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

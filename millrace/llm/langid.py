@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import array_slices, release, small_batches, text_slices, written
 
 BIGRAMS, TRIGRAMS = 1 << 16, 1 << 17
 #: Documents of each language that are learnt from: about so many, those with the least hashes of doc_id.
@@ -97,17 +98,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and non-null lang of docs that are not held out. Rows are chosen by a hash of doc_id, as many
     of each language in expectation, whatever its share. The n-gram counts are summed by the cluster; the driver gets
     one row per language and feature, at most languages * (BIGRAMS + TRIGRAMS)."""
-    known = docs.where("lang is not null and text is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("long"), "text", "lang")
+    known = small_batches(docs).where("lang is not null and text is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("long"), "text", "lang")
     shares = known.groupBy("lang").count()
     ratio = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
     picked = known.join(F.broadcast(shares.select("lang", ratio.alias("ratio"))), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("ratio") * (1 << 30)).select("lang", "text")
     picked = written(picked, "sample")
 
     def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        release()
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in text_slices(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 into = sums.setdefault(lang, np.zeros(BIGRAMS + TRIGRAMS, dtype=np.int64))
                 for p in parts(text):
@@ -133,10 +133,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     row_of = {lang: i for i, lang in enumerate(langs)}
 
     def right(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         ok, n = np.zeros(code.shape), np.zeros(len(langs), dtype=np.int64)
-        for b in batches:
+        for b in text_slices(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 i = row_of[lang]
                 ok[i] += code[i] * margins(text, sent.value) > 0
@@ -152,12 +150,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (0 to 1), ambiguous for each row, from its whole text alone. A null text or one without a
     letter: und, 0, true. Equal losses: the first language in order. Nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in slices(batches):
+        release()
+        for b in text_slices(batches, 1):
             out = [sent.value.predict(t) for t in b.column(1).to_pylist()]
             score = [s for _, s in out]
             yield pa.record_batch([b.column(0), pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], ["key", "lang_pred", "score", "ambiguous"])
@@ -166,21 +163,20 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and ambiguous beside each row's own columns, without a shuffle."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
-
-    def run(batches: Iterator) -> Iterator:
-        for b in slices(batches):
-            out = [sent.value.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+    """docs with lang_pred, score and ambiguous beside each row's own columns, without a shuffle. Only texts go through
+    Python."""
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        for texts in parts:
+            out = [sent.value.predict(t) for some in array_slices(texts) for t in some.to_pylist()]
             score = [s for _, s in out]
-            more = [pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())]
-            yield pa.record_batch([*b.columns, *more], [*b.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.StructArray.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]))
+    rows = docs.drop("lang_pred", "score", "ambiguous").withColumn("__found", found(F.col("text").cast("string")))
+    return rows.select("*", "__found.*").drop("__found")
 
 
 def languages(docs: DataFrame) -> DataFrame:

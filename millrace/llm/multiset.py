@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_ranges, shuffle_parts
+from .common import id_ranges, shuffle_parts, small_batches
 
 EXACT, SKETCH, WINDOW = 32, 128, 12
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # odd multipliers
@@ -109,7 +109,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     come first; rows of equal id follow each other by text, and each gives a row; a sole document follows itself; an
     empty table gives no row; other columns are ignored."""
     spark = docs.sparkSession
-    rows, bounds = id_ranges(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    rows, bounds = id_ranges(small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     parts = len(bounds) + 1
     least = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min(F.col("doc_id").cast("long")).alias("low")).first()
     first = F.col("doc_id").isNull() if least.n > least.ids else F.col("doc_id") == F.lit(least.low)

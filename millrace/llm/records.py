@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, id_ranges, shuffle_parts, work_dir
+from .common import file_system, id_ranges, shuffle_parts, small_batches, work_dir
 from .tokens import encoder, le
 
 MASK = 0xA282EAD8  # fixed value of the record format's masked checksum
@@ -85,7 +85,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Da
     """Encodes docs(doc_id, text), appends end_id to each and writes shards to path in order of doc_id. Returns the
     manifest, one row per shard, with start: the ids of all shards before it."""
     spark = docs.sparkSession
-    rows, bounds = id_ranges(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    rows, bounds = id_ranges(small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     rows = rows.repartitionById(max(shuffle_parts(spark), len(bounds) + 1), F.col("__part")).sortWithinPartitions("__part", F.col("doc_id").asc_nulls_first(), "text")
     shards = f"{path}/shards"
     fs, top = file_system(shards)

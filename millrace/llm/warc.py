@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, looked_up, work_dir, written
+from .common import file_system, looked_up, small_batches, work_dir, written
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame that the .warc.zst format keeps for its dictionary
 SAMPLE_PAGES, SAMPLE_LONGEST, DICT_BYTES, LEVEL = 400, 20_000, 112_640, 3
@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     responses too, since a record can't revisit itself; a null page_id never is what others refer to, and is a
     response if its payload has no other id. An empty table gives no archive; other columns are ignored."""
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha = F.sha1(F.encode("html", "utf-8")).alias("sha")
     keys = written(rows.select(sha).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1"), "digests")
     least = rows.select("page_id", sha).join(F.broadcast(keys) if keys.isEmpty() else keys, "sha", "left_semi")
