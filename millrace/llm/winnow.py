@@ -1,96 +1,133 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-Lines with nothing but spaces take no part. A window is a least run of lines that counts as a passage: at least
-MIN_WORDS words, or MIN_LINES lines. Each window selects the line of least hash in it (the last of equals) as its
-fingerprint, so any two equal passages select the same lines. Fingerprints that occur once are dropped; at those that
-occur again, the windows around them, to either side, are what a match may be extended to. A window whose whole
-content occurs before (by doc_id, then line) is a later repeat, and the union of such windows are the repeated runs,
-extended as far as they match; their lines are deleted. The first occurrence of all content stays.
-
-Comparing each window with the first of its content, and not with all others, keeps the work linear however often a
+Lines of nothing but white space take no part. A passage is a run of lines of at least MIN_WORDS words or MIN_LINES
+lines, and a window is a least one: that which begins at a line, or ends at it. Each window selects the line of least
+hash in it (the last of equals), so two equal passages select the same lines: these are the fingerprints, a row each,
+with the windows that selected them, at most MIN_LINES to either side.
+
+Fingerprints are joined with how often their hash occurs, and those that occur once are dropped. At the positions that
+are left, a match is extended to the left and to the right over the windows around it: each is held against the first
+place (by doc_id, then line) at which the same fingerprint stands in the same window. Where that is before, the window
+is a later repeat, and as windows reach both ways from every line, those that are make up each repeated run to its
+first and last line. Their lines are deleted; the first occurrence of all content stays.
+
+Comparing each place with the first of its kind, and not with all others, keeps the work linear however often a
 passage occurs; counts and first places are pre-aggregated, and looked_up() keeps a hot passage's rows where they are.
-Contents are compared by 128 bits of hashes."""
+Within a text every step is linear in its lines, but for one sort where lines are taken out. Contents are compared by
+128 bits of hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, written
+from .common import drop_written, looked_up, written
 
 MIN_LINES, MIN_WORDS = 3, 50
+#: What words are parted by within a line.
+BLANK = r" \t\r"
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), start and stop (line numbers), f (the fingerprint's hash), fresh (whether it is
-    another line than the window before selected), content (hashes of all lines)."""
+def _words(line: str) -> str:
+    """The number of words; lines with single blanks between words, which are nearly all, are counted by those."""
+    odd = f"contains({line}, '  ') OR contains({line}, '\\t') OR contains({line}, '\\r') OR startswith({line}, ' ') OR endswith({line}, ' ')"
+    return f"IF({odd}, size(split(trim(BOTH '{BLANK}' FROM {line}), '[{BLANK}]+')), length({line}) - length(replace({line}, ' ', '')) + 1)"
+
+
+def _size(step: int) -> str:
+    """Lines of the window that begins (step 1) or ends (-1) at line k, whose words are x; null where there is none."""
+    sums = ["x"]
+    for j in range(1, MIN_LINES):
+        sums.append(f"{sums[-1]} + get(w, k + {j * step})")
+    cases = " ".join(f"WHEN {s} >= {MIN_WORDS} THEN {j + 1}" for j, s in enumerate(sums))
+    return f"CASE {cases} WHEN get(w, k + {(MIN_LINES - 1) * step}) IS NOT NULL THEN {MIN_LINES} END"
+
+
+def _least(first: str, size: str) -> str:
+    """The line of least hash, the last of equals, in a window."""
+    at = first
+    cases = [f"WHEN 1 THEN {at}"]
+    for j in range(1, MIN_LINES):
+        at = f"IF(get(h, {first} + {j}) <= get(h, {at}), {first} + {j}, {at})"
+        cases.append(f"WHEN {j + 1} THEN {at}")
+    return f"CASE {size} {' '.join(cases)} END"
+
+
+def _window(first: str, size: str) -> str:
+    """A window's lines and a hash of what is in it."""
+    own = lambda a: ", ".join(f"IF({size} > {j}, get({a}, {first} + {j}), NULL)" for j in range(MIN_LINES))
+    return f"struct(get(i, {first}) AS start, get(i, {first} + {size} - 1) AS stop, struct({size} AS n, xxhash64({size}, {own('h')}) AS a, xxhash64({size}, {own('g')}) AS b) AS content)"
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), place (line number), f (the line's hash), windows (start and stop line, content)
+    of each line that a window selects."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(
-        "doc_id",
-        F.xxhash64("text").alias("th"),
-        F.expr(r"""filter(transform(split(text, '\n', -1), (l, i) -> struct(i, xxhash64(l) AS h, xxhash64('2', l) AS g,
-            length(l) - length(replace(l, ' ', '')) + 1 AS w, trim(l) <> '' AS ok)), x -> x.ok)""").alias("t"),
-    )
-    # m: lines in the window that begins at each line; null where the text ends before it is full
-    rows = rows.withColumn("m", F.expr(f"transform(t, (x, k) -> CASE WHEN x.w >= {MIN_WORDS} THEN 1 {_cases()} WHEN k + {MIN_LINES} <= size(t) THEN {MIN_LINES} END)"))
-    rows = rows.withColumn("p", F.expr("transform(m, (n, k) -> CASE WHEN n IS NOT NULL THEN aggregate(sequence(k, k + n - 1), k, (a, b) -> IF(t[b].h <= t[a].h, b, a)) END)"))
-    one = F.expr("""filter(transform(m, (n, k) -> struct(t[k].i AS start, t[k + coalesce(n, 1) - 1].i AS stop, t[p[k]].h AS f,
-        k = 0 OR NOT p[k] <=> get(p, k - 1) AS fresh,
-        struct(n, xxhash64(slice(transform(t, x -> x.h), k + 1, coalesce(n, 1))) AS a, xxhash64(slice(transform(t, x -> x.g), k + 1, coalesce(n, 1))) AS b) AS content,
-        n IS NOT NULL AS whole)), x -> x.whole)""")
-    return rows.select("doc_id", "th", F.explode(one).alias("o")).select("doc_id", "th", "o.start", "o.stop", "o.f", "o.fresh", "o.content")
-
-
-def _cases() -> str:
-    """Windows of 2 to MIN_LINES - 1 lines that have words enough."""
-    words = lambda n: " + ".join(f"t[k + {j}].w" if j else "x.w" for j in range(n))
-    return " ".join(f"WHEN k + {n} <= size(t) AND {words(n)} >= {MIN_WORDS} THEN {n}" for n in range(2, MIN_LINES))
+    lines = f"""filter(transform(split(text, '\\n', -1), (l, i) -> struct(i, xxhash64(l) AS h, xxhash64('2', l) AS g, {_words("l")} AS w,
+        trim(BOTH '{BLANK}' FROM l) <> '' AS ok)), x -> x.ok)"""
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.expr(lines).alias("t"))
+    # arrays of their own: one that were made within the functions below would be made for each line
+    rows = rows.select("doc_id", "th", *[F.expr(f"transform(t, x -> x.{c})").alias(c) for c in "ihgw"])
+    rows = rows.withColumn("m", F.expr(f"transform(w, (x, k) -> {_size(1)})")).withColumn("r", F.expr(f"transform(w, (x, k) -> {_size(-1)})"))
+    rows = rows.withColumn("pm", F.expr(f"transform(m, (n, k) -> {_least('k', 'n')})"))
+    # windows that end at a line, but for those that are also the one that begins at their first line
+    rows = rows.withColumn("pr", F.expr(f"transform(r, (n, k) -> IF(get(m, k - n + 1) = n, NULL, {_least('(k - n + 1)', 'n')}))"))
+    begun = [f"IF(get(pm, p - {j}) = p, {_window(f'(p - {j})', f'get(m, p - {j})')}, NULL)" for j in range(MIN_LINES)]
+    ended = [f"IF(get(pr, p + {j}) = p, {_window(f'(p + {j} - get(r, p + {j}) + 1)', f'get(r, p + {j})')}, NULL)" for j in range(MIN_LINES)]
+    one = f"filter(transform(h, (f, p) -> struct(get(i, p) AS place, f, filter(array({', '.join(begun + ended)}), x -> x IS NOT NULL) AS windows)), x -> size(x.windows) > 0)"
+    return rows.select("doc_id", "th", F.explode(F.expr(one)).alias("o")).select("doc_id", "th", "o.place", "o.f", "o.windows")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, gone: the numbers of the lines to delete, in order, of each text that has any."""
-    found = written(windows(docs), "windows")
-    prints = written(found.where("fresh").groupBy("f").agg(F.count("*").alias("places")).where("places > 1"), "fingerprints")
-    sizes = found.groupBy("f").agg(F.count("*").alias("n"))
-    near = looked_up(found, written(prints.join(sizes, "f"), "fingerprints"), "f", "n").where("places > 1").select("doc_id", "th", "start", "stop", "content")
-    near = written(near, "windows")
+    found = written(fingerprints(docs), "fingerprints")
+    places = written(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").withColumn("places", F.col("n")), "places")
+    near = looked_up(found, places, "f", "n").where("places > 1")
+    near = written(near.select("doc_id", "th", F.explode("windows").alias("x")).select("doc_id", "th", "x.start", "x.stop", "x.content"), "windows")
+    drop_written(found)
+    drop_written(places)
     place = F.struct("doc_id", "th", "start")
-    firsts = near.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = looked_up(near, written(firsts, "firsts"), "content", "n").where(place > F.col("first"))
+    firsts = written(near.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    later = looked_up(near, firsts, "content", "n").where(place > F.col("first"))
     lines = later.select("doc_id", "th", F.explode(F.sequence("start", "stop")).alias("line"))
-    return lines.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    out = written(lines.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
+    drop_written(near)
+    drop_written(firsts)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what is left of it, and the columns n_lines and n_deleted.
 
-    A null text stays null, with no line. Blank lines stay, also between deleted ones; a text of which all is deleted
-    is empty. Rows that share doc_id and text are one document given twice, not repeats of each other, and fare alike;
-    rows that share doc_id alone are ordered by a hash of the text. Null ids come first. Columns of docs that are
-    named as those made here are overwritten; an empty table gives no row."""
+    A null text stays null, with no line. Blank lines within a deleted run go with it, others stay; a text of which all
+    is deleted is empty. Rows that share doc_id and text are one document given twice, not repeats of each other, and
+    fare alike; rows that share doc_id alone are ordered by a hash of the text. Null ids come first. Columns of docs
+    that are named as those made here are overwritten; an empty table gives no row."""
     gone = repeated_lines(docs).select(F.struct("doc_id", "th").alias("__doc"), F.col("gone").alias("__gone"))
     rows = docs.drop("n_lines", "n_deleted").withColumn("__doc", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
-    rows = rows.join(gone, rows["__doc"].eqNullSafe(gone["__doc"]), "left").drop("__doc").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    rows = rows.join(gone, rows["__doc"].eqNullSafe(gone["__doc"]), "left").drop("__doc")
     rows = rows.withColumn("__lines", F.when(F.col("text").isNotNull(), F.split("text", "\n", -1)))
-    left = F.expr("""array_join(flatten(transform(sequence(0, size(__gone)), k -> slice(__lines, coalesce(get(__gone, k - 1), -1) + 2,
-        coalesce(get(__gone, k), size(__lines)) - coalesce(get(__gone, k - 1), -1) - 1))), '\n')""")
-    text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(left)
-    return rows.withColumns({"text": text, "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_deleted": F.size("__gone").cast("long")}).drop("__gone", "__lines")
+    # lines and marks of deleted ones in one order: a line goes that a mark follows
+    both = F.expr("sort_array(concat(transform(__lines, (l, k) -> struct(k, 0 AS mark, l)), transform(__gone, k -> struct(k, 1 AS mark, '' AS l))))")
+    rows = rows.withColumn("__both", F.when(F.col("__gone").isNotNull(), both))
+    left = F.expr("array_join(transform(filter(__both, (x, k) -> x.mark = 0 AND NOT coalesce(get(__both, k + 1).mark = 1, false)), x -> x.l), '\\n')")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    n = {"n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    return rows.withColumns({"text": text, **n}).drop("__gone", "__lines", "__both")
 
 
+#: Longest runs of equal lines between any two places, the later of which is deleted if it is a passage.
 ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 line AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM d),
-t AS (SELECT doc_id, i, l, length(l) - length(replace(l, ' ', '')) + 1 AS w, lead(l) OVER o AS l1, lead(l, 2) OVER o AS l2, lead(i) OVER o AS i1, lead(i, 2) OVER o AS i2
-      FROM line WHERE trim(l, ' ') <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-v AS (SELECT *, length(l1) - length(replace(l1, ' ', '')) + 1 AS w1 FROM t),
-win AS (SELECT doc_id, i, CASE WHEN w >= {MIN_WORDS} THEN [i] WHEN w + w1 >= {MIN_WORDS} THEN [i, i1] WHEN i2 IS NOT NULL THEN [i, i1, i2] END AS own,
-        CASE WHEN w >= {MIN_WORDS} THEN [l] WHEN w + w1 >= {MIN_WORDS} THEN [l, l1] ELSE [l, l1, l2] END AS content FROM v),
-later AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS k FROM win WHERE own IS NOT NULL),
-gone AS (SELECT doc_id, unnest(range(own[1], own[-1] + 1)) AS i FROM later WHERE k > 1),
-gone2 AS (SELECT DISTINCT doc_id, i FROM gone),
-kept AS (SELECT line.doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM line ANTI JOIN gone2 USING (doc_id, i) GROUP BY 1),
-n AS (SELECT doc_id, count(*) AS n FROM gone2 GROUP BY 1)
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, len(list_filter(regexp_split_to_array(l, '[{BLANK}]+'), lambda x: x <> '')) AS w
+      FROM line WHERE regexp_matches(l, '[^{BLANK}]')),
+pair AS (SELECT a.doc_id AS da, b.doc_id AS db, b.k - a.k AS off, b.k, b.i, b.w FROM t AS a JOIN t AS b ON a.l = b.l AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.k < b.k))),
+island AS (SELECT *, k - row_number() OVER (PARTITION BY da, db, off ORDER BY k) AS run FROM pair),
+passage AS (SELECT db, min(i) AS lo, max(i) AS hi FROM island GROUP BY da, db, off, run HAVING count(*) >= {MIN_LINES} OR sum(w) >= {MIN_WORDS}),
+gone AS (SELECT DISTINCT db AS doc_id, unnest(range(lo, hi + 1)) AS i FROM passage),
+kept AS (SELECT line.doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN 0 ELSE len(a) END AS n_lines, coalesce(n.n, 0) AS n_deleted, CASE WHEN documents.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5
 FROM documents JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
