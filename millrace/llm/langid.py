@@ -175,7 +175,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             score = [s for _, s in out]
             yield pa.StructArray.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array(score, pa.float64()), pa.array([s < AMBIGUOUS for s in score], pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    rows = docs.drop("lang_pred", "score", "ambiguous").withColumn("__found", found(F.col("text").cast("string")))
+    # else a filter on what it returns would be pushed below it, and the model be applied twice
+    once = found.asNondeterministic()
+    rows = docs.drop("lang_pred", "score", "ambiguous").withColumn("__found", once(F.col("text").cast("string")))
     return rows.select("*", "__found.*").drop("__found")
 
 

@@ -15,9 +15,11 @@ out."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,6 @@ class Grams:
     piece; keys: a hash of each different one; where: a place in whole that has it."""
 
     def __init__(self, some: list[str], salts: list[int]):
-        import pyarrow as pa
-
         self.whole = "".join(some)
         code = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         n = len(code) - ORDER + 1
@@ -113,10 +113,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, g, n: the n-grams of docs(lang, text), pre-aggregated in each task."""
 
     def count(batches: Iterator) -> Iterator:
-        from collections import Counter
-
-        import pyarrow as pa
-
         release()
         sums: dict[str, Counter] = {}
 
@@ -174,7 +170,9 @@ def train(docs: DataFrame) -> str:
     shard = F.pmod("h", F.lit(shards)).cast("int")
     rows = model.select(shard.alias("shard"), "h", "v").repartitionById(shards, F.col("shard"))
     write(rows, path, "shard")
-    spark.createDataFrame([(shards, sorted(r.lang for r in tables[1].select("lang").distinct().collect()))], "shards int, langs array<string>").coalesce(1).write.parquet(f"{path}.size")
+    langs = sorted(r.lang for r in tables[1].select("lang").distinct().collect())
+    size = pa.table({"shards": pa.array([shards], pa.int32()), "langs": pa.array([langs], pa.list_(pa.string()))})
+    spark.createDataFrame(size).coalesce(1).write.parquet(f"{path}.size")
     for t in [*tables.values(), *shares]:
         drop_written(t)
     return path
@@ -303,8 +301,6 @@ def costs(docs: DataFrame, path: str) -> DataFrame:
     shards, known = size.shards, size.langs
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         s = scorer(path, shards)
         for b in text_slices(batches, 3):
             langs, texts = b.column(2).to_pylist(), list(map(running, b.column(3).to_pylist()))
@@ -349,7 +345,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark, langs = docs.sparkSession, docs.sparkSession.read.parquet(f"{path}.size").first().langs
     known = {r.judge: (r.median, r.bound) for r in fences}
     table = [(lang, *known.get(lang, known.get(None, (None, None)))) for lang in langs]
-    bounds = spark.createDataFrame(table, "judge string, median double, bound double")
+    bounds = spark.createDataFrame(pa.table([pa.array([t[i] for t in table], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64()))], ["judge", "median", "bound"]))
     out = rows.join(F.broadcast(bounds), "judge", "left")
     seen = (F.col("n") > 0) & F.col("judge").isin(langs) if langs else F.lit(False)
     kept = F.coalesce(shrunk <= F.col("bound"), F.lit(True)) & F.col("wordy")
