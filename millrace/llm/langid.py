@@ -144,6 +144,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     trust = np.ones(code.shape)
     for r in picked.mapInArrow(right, "lang string, n long, ok array<double>").groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("ok")[b]).alias(f"ok{b}") for b in range(code.shape[1])]).collect():
         trust[row_of[r.lang]] = [(r[f"ok{b}"] + 1) / (r.n + 2) for b in range(code.shape[1])]
+    sent.destroy()
     return Model(langs, code, weights, trust / trust.sum(axis=1, keepdims=True))
 
 

@@ -5,12 +5,12 @@ to be replicated over a hundred thousand times. So the anchors take fingerprints
 hash of a word says so, in about ten words each, and the PASSAGES of least hash stand for it. An edit spoils the
 passage that it falls in and no other, so most texts as alike as 0.8 share one of theirs. Of each class of passages
 (fingerprints linked within k bits) one document stands for it, and the others are held against that one alone: linear
-work, however large the class. ROUNDS of this, with other documents each time, connect most of what is alike.
+work, however large the class. That connects most of what is alike.
 
 The rest is found by a second, exact way. Put the shingles of all texts in one order, those that are common in a sample
 last: two texts as alike as LEAST share one of their first n - ceil(LEAST n) + 1. So texts that share a shingle there,
 and aren't connected yet, are compared as well, whatever passages they have: first by the numbers of their shingles, in
-all, behind the shared one, and at each of PLACES places, which can't differ by more than the sets do and rule out no
+all, behind the shared one, and at each of PLACES, then FINE places, which can't differ by more than the sets do and rule out no
 pair that is alike; then by their shingles. The sample and the passages only move work, no result.
 
 Nothing larger than two tiles of documents, or about GRAMS shingles, meets in a task but a single text.
@@ -22,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ from .embedding import _stars
 from .simhash import links, majorities
 
 WIDTH, LEAST, PASSAGES, BITS = 5, 0.8, 5, 1
-PLACES = 256
-ROUNDS = 2
+#: Places of the tallies that all texts have, and of those of texts that the first leave as candidates.
+PLACES, FINE = 256, 2048
 #: About so many texts are sampled for common shingles, of which so many at most are ordered last.
 SAMPLE, COMMON = 10_000, 250_000
 TILE = 512
@@ -143,10 +144,10 @@ class Words:
         return [xxhash.xxh64_intdigest(self.word[i : i + n].astype("<u8").tobytes(), 7) for i, n in zip(self.starts.tolist(), self.sizes.tolist())]
 
 
-def tally(grams: np.ndarray) -> bytes:
-    """How many of a set's shingles are at each of PLACES places, 255 at most. The sum of the differences of two sets'
+def tally(grams: np.ndarray, places: int = PLACES) -> bytes:
+    """How many of a set's shingles are at each of so many places, 255 at most. The sum of the differences of two sets'
     is at most the number of shingles that only one of them has."""
-    return np.minimum(np.bincount((grams >> np.uint64(32)).astype(np.int64) % PLACES, minlength=PLACES), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((grams >> np.uint64(32)).astype(np.int64) % places, minlength=places), 255).astype(np.uint8).tobytes()
 
 
 def first_shingles(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -203,10 +204,9 @@ def _lists(parts: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, common: Broadcast) -> DataFrame:
     """doc_id, th (hash of the text), node, bits (the tally), n, marks (passages' fingerprints), first (the shingles of
     first_shingles()) of each row."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(small_batches(docs)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -326,18 +326,22 @@ def _dealt(rows: DataFrame, groups: int) -> DataFrame:
 
 def _promising(t):
     """mark, node of the documents that the sketches can't tell from another one of their class, and that aren't
-    connected to it yet (component; pos: the place of the mark in the order of the document's shingles). The mark is
-    one of the set of documents to compare, so that those that meet in many classes are compared once."""
+    connected to it yet (where there are component and pos, the place of the mark in the order of the document's
+    shingles). The mark is one of the set of documents to compare, so that those that meet in many classes are compared
+    once."""
     import pyarrow as pa
     import xxhash
 
-    mark, node, n, apart, pos = (t.column(c).to_numpy() for c in ("mark", "node", "n", "component", "pos"))
+    mark, node, n = (t.column(c).to_numpy() for c in ("mark", "node", "n"))
+    apart, pos = (t.column(c).to_numpy() if c in t.column_names else None for c in ("component", "pos"))
     bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
     out: set[tuple[int, int]] = set()
     for own in _classes(mark, node):
-        # at the first shingle that two sets share, no more can be shared than it and what follows in both
-        rest, size = n[own] - pos[own], n[own]
-        also = (apart[own][:, None] != apart[own]) & (np.minimum(rest[:, None], rest) >= LEAST / (1 + LEAST) * (size[:, None] + size) - 1e-9)
+        also = None
+        if pos is not None:
+            # at the first shingle that two sets share, no more can be shared than it and what follows in both
+            rest, size = n[own] - pos[own], n[own]
+            also = (apart[own][:, None] != apart[own]) & (np.minimum(rest[:, None], rest) >= LEAST / (1 + LEAST) * (size[:, None] + size) - 1e-9)
         ok = alike_by_sketch(bits[own], n[own], also)
         some = ok.any(axis=1)
         own, ok = own[some], ok[np.ix_(some, some)]
@@ -378,15 +382,14 @@ def _held_against(t):
 
 
 def _star(docs: DataFrame, nodes: DataFrame, marks: DataFrame) -> DataFrame:
-    """a, b: which of marks(mark, node, n, component) are alike to the one that stands for their class, of which they
-    aren't connected to it. That is the one whose marks have the largest classes, as the original of edited copies."""
-    sizes = written(marks.groupBy("mark").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")), "sizes")
-    sized = written(looked_up(marks, sizes.where("size > 1").withColumn("c", F.col("size")), "mark", "c").where("size > 1"), "sized")
+    """a, b: which of marks(mark, node, n) are alike to the one that stands for their class: that whose marks have the
+    largest classes, as the original of edited copies."""
+    sizes = written(marks.groupBy("mark").agg(F.count("*").alias("size")).where("size > 1").withColumn("c", F.col("size")), "sizes")
+    sized = written(looked_up(marks, sizes, "mark", "c").where("size > 1"), "sized")
     centre = written(sized.groupBy("node").agg(F.sum("size").alias("weight")), "centre")
-    best = F.max(F.struct("weight", "node", "n", "component")).alias("r")
-    chosen = written(sized.where("lo <> hi").join(centre, "node").groupBy("mark").agg(best, F.count("*").alias("c")), "chosen")
-    pairs = looked_up(sized, chosen, "mark", "c").where("r is not null")
-    pairs = pairs.where((F.col("component") != F.col("r.component")) & (F.least("n", "r.n") >= LEAST * F.greatest("n", "r.n") - 1e-9))
+    best = F.max(F.struct("weight", "node", "n")).alias("r")
+    chosen = written(sized.join(centre, "node").groupBy("mark").agg(best, F.count("*").alias("c")), "chosen")
+    pairs = looked_up(sized, chosen, "mark", "c").where((F.col("node") != F.col("r.node")) & (F.least("n", "r.n") >= LEAST * F.greatest("n", "r.n") - 1e-9))
     pairs = written(pairs.select(F.col("r.node").alias("a"), "node", "n").distinct(), "pairs")
     for d in (sizes, sized, centre, chosen):
         drop_written(d)
@@ -416,16 +419,32 @@ def _prefixed(nodes: DataFrame, near: DataFrame) -> DataFrame:
     return out
 
 
+def _tallies(grams: DataFrame) -> DataFrame:
+    """node, n, bits (at FINE places) of grams(node, grams)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            sets = _views(pa.chunked_array([b.column(1)]))
+            yield pa.record_batch([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([tally(g, FINE) for g in sets], pa.binary())], ["node", "n", "bits"])
+
+    return grams.select("node", "grams").mapInArrow(run, "node long, n long, bits binary")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, posts: DataFrame) -> DataFrame:
     """a, b: links that connect the documents of each class of posts that are alike."""
-    dealt = _dealt(posts, max(1, -(-posts.count() // BUCKET)))
-    dealt = dealt.select("group", "lo", "hi", "mark", "node", "bits", "n", "component", "pos")
-    hopeful = written(dealt.groupBy("group", "lo", "hi").applyInArrow(_promising, "mark long, node long").distinct(), "hopeful")
+    by, sets = ["group", "lo", "hi"], "mark long, node long"
+    dealt = _dealt(posts, max(1, -(-posts.count() // BUCKET))).select(*by, "mark", "node", "bits", "n", "component", "pos")
+    hopeful = written(dealt.groupBy(*by).applyInArrow(_promising, sets).distinct(), "hopeful")
     grams = _grams_of(docs, nodes, hopeful)
-    total = hopeful.join(nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-    both = _dealt(hopeful, max(1, -(-total // GRAMS))).join(grams, "node").select("group", "lo", "hi", "mark", "node", "grams")
-    out = written(both.groupBy("group", "lo", "hi").applyInArrow(_linked, "a long, b long"), "links")
-    for d in (hopeful, grams):
+    fine = written(_tallies(grams), "tallies")
+    dealt = _dealt(hopeful, max(1, -(-hopeful.count() * FINE // (8 * GRAMS)))).join(fine, "node").select(*by, "mark", "node", "bits", "n")
+    close = written(dealt.groupBy(*by).applyInArrow(_promising, sets).distinct(), "close")
+    total = close.join(fine, "node").agg(F.sum("n")).first()[0] or 0
+    both = _dealt(close, max(1, -(-total // GRAMS))).join(grams, "node").select(*by, "mark", "node", "grams")
+    out = written(both.groupBy(*by).applyInArrow(_linked, "a long, b long"), "links")
+    for d in (hopeful, grams, fine, close):
         drop_written(d)
     return out
 
@@ -438,7 +457,9 @@ def similar(docs: DataFrame) -> DataFrame:
     of LEAST or more of their sets of WIDTH-word shingles. kept: the document of the least id of
     its component. Rows equal in id and text are one document; null ids come first; very long texts are taken whole;
     an empty table gives no row; other columns are ignored."""
-    rows = written(sketches(docs), "sketches")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(small_batches(docs)))
+    rows = written(sketches(docs, common), "sketches")
+    common.destroy()
     names = written(rows.select("doc_id", "th", "node"), "names")
     doc = F.struct("doc_id", "th")
     nodes = written(rows.groupBy("node").agg(F.min(doc).alias("rep"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("first").alias("first"), F.count("*").alias("rows")), "nodes")
@@ -451,17 +472,9 @@ def similar(docs: DataFrame) -> DataFrame:
     marks = written(marks.dropDuplicates(["mark", "node"]), "marks")
     drop_written(prints)
     drop_written(near)
-    pairs, found = None, None
-    for k in range(ROUNDS):
-        if found is None:
-            known = marks.withColumn("component", F.col("node"))
-        else:
-            known = marks.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = _star(docs, nodes, known)
-        pairs = more if pairs is None else pairs.unionByName(more)
-        found = connected(pairs)
+    pairs = _star(docs, nodes, marks)
     drop_written(marks)
-    posts = _prefixed(nodes, found)
+    posts = _prefixed(nodes, connected(pairs))
     pairs = pairs.unionByName(_links(docs, nodes, posts))
     drop_written(posts)
     joined = nodes.select("node", "rep", "rows").join(connected(pairs), "node", "left").withColumn("root", F.coalesce("component", "node"))
