@@ -4,6 +4,7 @@ of ids, and lookups that stand a hot key."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -78,10 +79,12 @@ def slices(batches, rows: int = 1_000):
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset (one
-    machine, as in tests) is a temp folder taken instead."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset and Spark
+    runs in one process, as in tests, is a temp folder taken instead; on a cluster its absence is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

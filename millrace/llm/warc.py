@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import file_system, looked_up, small_batches, work_dir, written
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame that the .warc.zst format keeps for its dictionary
-SAMPLE_PAGES, SAMPLE_LONGEST, DICT_BYTES, LEVEL = 400, 20_000, 112_640, 3
+PIECE, SAMPLE, DICT_BYTES, LEVEL = 16_384, 400, 112_640, 3
 #: Bytes of an archive after which a task begins another.
 ROLL = 1 << 30
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -58,17 +58,25 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, payload_di
     return record("revisit" if revisit else "response", headers, http if revisit else http + payload)
 
 
-def trained(pages: DataFrame) -> bytes:
-    """The dictionary; b"" if there is too little to build one from. The rows that reach the driver are bounded by
-    their number and length, however many pages there are."""
+def trained(marked: DataFrame) -> bytes:
+    """The dictionary for records of marked(page_id, url, html, refers_to); b"" if there is too little to build one
+    from. About SAMPLE pieces of at most PIECE characters reach the driver, however many pages there are and however
+    long."""
     import zstandard
 
-    usable = pages.where(F.length("html").between(1, SAMPLE_LONGEST))
-    share = SAMPLE_PAGES / max(1, usable.count())
-    picked = usable.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < share * (1 << 30)).select("html").limit(2 * SAMPLE_PAGES).collect()
-    texts = sorted(r.html.encode("utf-8", "surrogatepass") for r in picked)
+    rows = marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(""))
+    pieces = F.greatest(F.ceil(F.length("html") / PIECE), F.lit(1)).cast("int")
+    share = SAMPLE / max(1, rows.agg(F.sum(pieces)).first()[0] or 0)
+    chosen = F.expr(f"filter(sequence(0, pieces - 1), k -> pmod(xxhash64(page_id, url, k), {1 << 30}) < {share * (1 << 30)!r})")
+    picked = rows.withColumn("pieces", pieces).select("page_id", "url", "html", "refers_to", F.explode(chosen).alias("k"))
+    picked = picked.select("page_id", "url", F.expr(f"substring(html, k * {PIECE} + 1, {PIECE})").alias("part"), "refers_to", "k").collect()
+    some = []
+    for r in picked:
+        data = r.part.encode("utf-8", "surrogatepass")
+        some.append(data if r.k else page_record(r.page_id, r.url, data, digest(data), r.refers_to, record_id("page", r.page_id)))
+    some.sort()
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, texts)) // 20)), texts).as_bytes()
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, some)) // 20)), some).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -89,13 +97,11 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     spark = pages.sparkSession
     rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha = F.sha1(F.encode("html", "utf-8")).alias("sha")
-    keys = written(rows.select(sha).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1"), "digests")
-    least = rows.select("page_id", sha).join(F.broadcast(keys) if keys.isEmpty() else keys, "sha", "left_semi")
-    copies = written(least.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "copies")
-    dictionary = trained(rows)
+    copies = written(rows.groupBy(sha).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "copies")
     marked = rows.withColumn("sha", sha)
     marked = looked_up(marked, copies, "sha", "n") if not copies.isEmpty() else marked.withColumn("last", F.lit(None).cast("long"))
     marked = marked.select("page_id", "url", "html", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    dictionary = trained(marked)
     archives = f"{path}/archives"
     fs, top = file_system(archives)
     fs.create_dir(top, recursive=True)

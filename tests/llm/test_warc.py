@@ -46,3 +46,11 @@ def test_dictionary_helps_and_is_embedded(spark, sf):
     fs, _ = warc.file_system(path)
     with fs.open_input_stream(archives[0].archive) as f:
         assert f.read(4) == b"\x5d\x2a\x4d\x18"
+
+
+def test_dictionary_from_long_records(spark):
+    """Pages longer than a piece, and revisits, are what the dictionary is built from as well."""
+    page = "".join(f"<p>{i * 7919 % 10_007} common words of every page</p>" for i in range(3000))
+    marked = spark.createDataFrame([(i, f"http://x/{i}", f"{i} {page}", None if i % 2 else i + 1) for i in range(300)], "page_id long, url string, html string, refers_to long")
+    made = warc.trained(marked)
+    assert b"common words of every page" in made and b"WARC-Refers-To" in made and len(made) <= warc.DICT_BYTES
