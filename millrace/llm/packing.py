@@ -4,27 +4,30 @@ Genes are whole sequences (bins). A child takes well-filled bins of one parent i
 that hold any of the same documents, and puts the documents so displaced back, largest first, where they fit best.
 Fitness is the mean of squared fills, which favours few, full bins.
 
-Documents are dealt at random to shards of about SHARD pieces, each packed by one task: on every shard ISLANDS
-populations evolve apart and each sends its elite to the next every few generations. Between epochs the full bins of
-a shard's elite stay as they are, and the pieces of its other bins migrate to new, fewer shards together with those of
-all others; so the loss of dealing shrinks to what no packing can avoid, and no task ever holds more than a shard."""
+Documents are dealt at random to shards of about SHARD pieces. A shard is first packed by best fit; where that isn't
+provably optimal, ISLANDS populations of it evolve apart, each island of each shard in a task of its own. After every
+ROUND generations the populations are written, and each island's elite migrates to the next by a join. Between epochs
+the full bins of a shard's best packing stay as they are, and the pieces of its other bins go to new, fewer shards
+together with those of all others; so the loss of dealing shrinks to what no packing can avoid, and no task ever holds
+more than a shard."""
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import drop_written, small_batches, written
 from .records import steps
 from .tokens import encoder, le
 
 CAPACITY, SHARD, EPOCHS = 2048, 4096, 4
-ISLANDS, POPULATION, GENERATIONS, MIGRATE = 2, 4, 10, 4
+ISLANDS, POPULATION, ROUNDS, ROUND = 4, 4, 3, 10
 #: Share of a bin from which it stays as it is between epochs.
 FULL = 0.9985
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -71,6 +74,30 @@ def best_fit(order: list[int], sizes: list[int], capacity: int, into: Bins | Non
     return out
 
 
+def improved(bins: list[list[int]], free: list[int], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Swaps single pieces of bins for larger ones of free that fill them better, the largest that fits. Returns the
+    bins and what is free then, largest first."""
+    free = sorted(free, key=sizes.__getitem__)
+    held = [sizes[i] for i in free]
+    out = []
+    for items in bins:
+        room = capacity - sum(sizes[i] for i in items)
+        if room and held:
+            items = list(items)
+            for at, i in enumerate(items):
+                k = bisect_right(held, sizes[i] + room) - 1
+                if k >= 0 and held[k] > sizes[i]:
+                    room -= held[k] - sizes[i]
+                    items[at], gone = free.pop(k), held.pop(k)
+                    j = bisect_right(held, sizes[i])
+                    free.insert(j, i)
+                    held.insert(j, sizes[i])
+                    if not room:
+                        break
+        out.append(items)
+    return out, free[::-1]
+
+
 def crossed(a: Bins, b: Bins, sizes: list[int], rnd: random.Random) -> Bins:
     """A child of a with well-filled bins of b injected whole."""
     ranked = sorted(range(len(b.bins)), key=b.room.__getitem__)
@@ -83,49 +110,69 @@ def crossed(a: Bins, b: Bins, sizes: list[int], rnd: random.Random) -> Bins:
             kept.append(items)
         else:
             displaced += [i for i in items if i not in taken]
-    return best_fit(sorted(displaced, key=lambda i: -sizes[i]), sizes, a.capacity, Bins(a.capacity, gift + kept, sizes))
+    kept, displaced = improved(kept, displaced, sizes, a.capacity)
+    return best_fit(displaced, sizes, a.capacity, Bins(a.capacity, gift + kept, sizes))
 
 
 def mutated(a: Bins, sizes: list[int], rnd: random.Random) -> Bins:
     """Dissolves the emptiest bins and a few others."""
     n = len(a.bins)
     gone = set(sorted(range(n), key=lambda k: -a.room[k])[: max(1, n // 20)]) | {rnd.randrange(n) for _ in range(max(1, n // 50))}
-    free = [i for k in gone for i in a.bins[k]]
-    rnd.shuffle(free)
+    kept, free = improved([items for k, items in enumerate(a.bins) if k not in gone], [i for k in gone for i in a.bins[k]], sizes, a.capacity)
     free.sort(key=lambda i: -sizes[i] + rnd.random() * 8)
-    return best_fit(free, sizes, a.capacity, Bins(a.capacity, [items for k, items in enumerate(a.bins) if k not in gone], sizes))
+    return best_fit(free, sizes, a.capacity, Bins(a.capacity, kept, sizes))
 
 
-def evolved(sizes: list[int], capacity: int, seed: int) -> list[list[int]]:
-    """The bins (lists of indices of sizes) of the best packing found: the fewest, then the fullest. Deterministic."""
-    rnd = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
-    down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    first = best_fit(down, sizes, capacity)
-    big = sum(2 * s > capacity for s in sizes)
-    if len(first.bins) <= max(least, big):
-        return first.bins  # no packing has fewer
-    rank = lambda p: (len(p.bins), -p.fitness())
-    islands = []
-    for _ in range(ISLANDS):
-        noisy = [best_fit(sorted(down, key=lambda i: -sizes[i] * rnd.uniform(0.9, 1.1)), sizes, capacity) for _ in range(POPULATION - 1)]
-        islands.append([first, *noisy])
-    for g in range(1, GENERATIONS + 1):
-        for pop in islands:
-            pop.sort(key=rank)
-            a, b = rnd.sample(pop, 2)
-            child = crossed(*sorted((a, b), key=rank), sizes, rnd)
-            if rnd.random() < 0.5:
-                child = mutated(child, sizes, rnd)
-            if rank(child) <= rank(pop[-1]):
-                pop[-1] = child
-        if g % MIGRATE == 0:
-            elites = [min(pop, key=rank) for pop in islands]
-            for pop, elite in zip(islands, elites[-1:] + elites[:-1]):
-                pop.sort(key=rank)
-                pop[-1] = elite
-        if min(len(p.bins) for pop in islands for p in pop) <= max(least, big):
+def fewest(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer bins."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
+def largest_first(sizes: list[int]) -> list[int]:
+    return sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+
+
+def rank(p: Bins) -> tuple[int, float]:
+    return len(p.bins), -p.fitness()
+
+
+def settlers(sizes: list[int], capacity: int, rnd: random.Random) -> list[Bins]:
+    """An island's first population: best fit, and best fit in orders that are disturbed."""
+    down = largest_first(sizes)
+    noisy = [best_fit(sorted(down, key=lambda i: -sizes[i] * rnd.uniform(0.9, 1.1)), sizes, capacity) for _ in range(POPULATION - 1)]
+    return [best_fit(down, sizes, capacity), *noisy]
+
+
+def generations(pop: list[Bins], sizes: list[int], capacity: int, rnd: random.Random) -> list[Bins]:
+    """A population after ROUND generations, its elite first."""
+    least = fewest(sizes, capacity)
+    pop = sorted(pop, key=rank)
+    for _ in range(ROUND):
+        if len(pop[0].bins) <= least:
             break
+        a, b = sorted(rnd.sample(pop, 2), key=rank)
+        child = crossed(a, b, sizes, rnd)
+        if rnd.random() < 0.5:
+            child = mutated(child, sizes, rnd)
+        if rank(child) <= rank(pop[-1]):
+            pop[-1] = child
+        pop.sort(key=rank)
+    return pop
+
+
+def evolved(sizes: list[int], capacity: int, seed: int) -> list[list[int]]:
+    """The search over one shard in one process: the bins (lists of indices of sizes) of the best packing found, the
+    fewest, then the fullest. Deterministic."""
+    first = best_fit(largest_first(sizes), sizes, capacity)
+    if len(first.bins) <= fewest(sizes, capacity):
+        return first.bins
+    rnds = [random.Random(seed * ISLANDS + k) for k in range(ISLANDS)]
+    islands = [settlers(sizes, capacity, r) for r in rnds]
+    for _ in range(ROUNDS):
+        islands = [generations(pop, sizes, capacity, r) for pop, r in zip(islands, rnds)]
+        elites = [pop[0] for pop in islands]
+        for pop, guest in zip(islands, elites[-1:] + elites[:-1]):
+            pop[-1] = guest
     return min((p for pop in islands for p in pop), key=rank).bins
 
 
@@ -150,50 +197,109 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def _packer(epoch: int, last: bool, capacity: int):
-    """Packs the pieces of a shard; those of bins that are dissolved at the end of the epoch get no sequence."""
+def _in_order(t):
+    import pyarrow as pa
+
+    return t.take(pa.array(np.argsort(t.column("uid").to_numpy(), kind="stable")))
+
+
+def _numbers(bins: list[list[int]], n: int) -> np.ndarray:
+    """The bin that each of n pieces is in."""
+    out = np.empty(n, dtype=np.int32)
+    for k, items in enumerate(bins):
+        out[items] = k
+    return out
+
+
+def _members(numbers: np.ndarray) -> list[list[int]]:
+    order = np.argsort(numbers, kind="stable")
+    cuts = np.nonzero(np.diff(numbers[order]))[0] + 1
+    return [x.tolist() for x in np.split(order, cuts)]
+
+
+def _best_fit(capacity: int):
+    """Packs a shard by best fit; open: whether fewer bins may be possible."""
 
     def pack(t):
         import pyarrow as pa
 
-        t = t.take(pa.array(np.argsort(t.column("uid").to_numpy(), kind="stable")))
-        sizes, shard = t.column("length").to_pylist(), t.column("shard")[0].as_py()
-        sequence, offset = [None] * len(sizes), [0] * len(sizes)
-        for k, items in enumerate(evolved(sizes, capacity, epoch << 40 | shard)):
-            at, stays = 0, last or sum(sizes[i] for i in items) >= FULL * capacity
-            for i in items:
-                if stays:
-                    sequence[i], offset[i] = epoch << 56 | shard << 16 | k, at
-                at += sizes[i]
-        return t.drop(["shard"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        t = _in_order(t)
+        sizes = t.column("length").to_pylist()
+        bins = best_fit(largest_first(sizes), sizes, capacity).bins
+        found = pa.array(_numbers(bins, len(sizes)))
+        return t.select(["shard", "uid", "length"]).append_column("bin", found).append_column("open", pa.array([len(bins) > fewest(sizes, capacity)] * len(sizes)))
 
     return pack
 
 
+def _island(round_: int, epoch: int, capacity: int):
+    """ROUND generations of an island of a shard. pop: of each piece, its bin in every packing of the population; guest:
+    its bin in the packing that came from the island before. n, fitness: of the elite, which is the first of pop."""
+
+    def evolve(t):
+        import pyarrow as pa
+
+        t = _in_order(t)
+        sizes = t.column("length").to_pylist()
+        shard, island = t.column("shard")[0].as_py(), t.column("island")[0].as_py()
+        rnd = random.Random(f"{epoch} {round_} {shard} {island}")
+        if round_:
+            pop = np.array(t.column("pop").to_pylist(), dtype=np.int32).T.copy()
+            pop[-1] = t.column("guest").to_numpy()
+            pop = [Bins(capacity, _members(p), sizes) for p in pop]
+        else:
+            pop = settlers(sizes, capacity, rnd)
+        pop = generations(pop, sizes, capacity, rnd)
+        told = pa.array(np.stack([_numbers(p.bins, len(sizes)) for p in pop]).T.tolist(), pa.list_(pa.int32()))
+        n, fitness = len(pop[0].bins), pop[0].fitness()
+        return t.select(["shard", "island", "uid", "length"]).append_column("pop", told).append_column("n", pa.array([n] * len(sizes), pa.int64())).append_column("fitness", pa.array([fitness] * len(sizes)))
+
+    return evolve
+
+
+def _searched(open_: DataFrame, epoch: int, capacity: int) -> DataFrame:
+    """shard, uid, bin of the best packing that the islands of each shard of open_(shard, uid, length) found."""
+    pop = open_.select("shard", "uid", "length", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+    out = "shard long, island int, uid long, length long, pop array<int>, n long, fitness double"
+    came = None
+    for r in range(ROUNDS):
+        pop = written(pop.groupBy("shard", "island").applyInArrow(_island(r, epoch, capacity), out), "islands")
+        if came is not None:
+            drop_written(came)
+        came = pop
+        if r < ROUNDS - 1:
+            guests = pop.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "uid", F.col("pop")[0].alias("guest"))
+            pop = pop.join(guests, ["shard", "island", "uid"])
+    best = came.groupBy("shard").agg(F.min(F.struct("n", -F.col("fitness"), "island"))["island"].alias("island"))
+    return came.join(best, ["shard", "island"]).select("shard", "uid", F.col("pop")[0].alias("bin"))
+
+
 def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (as of pieces(), lengths 1 to capacity) with sequence_id and offset: gapless from 0 in every sequence.
 
-    Pieces of full length are sequences of their own. Every row gets a place: repeated rows, equal and null ids too.
-    An empty table gives no row."""
+    Pieces of full length are sequences of their own. Every row gets a place: repeated rows, equal and null ids too; of
+    equal packings the first island's counts. An empty table gives no row."""
     rows = written(rows, "pieces").withColumn("uid", F.monotonically_increasing_id())
-    names = PIECES.split(", ")
-    own = ", ".join(names)
-    whole = rows.where(F.col("length") >= capacity).select(*[c.split()[0] for c in names], (F.col("uid") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out, todo = [whole], rows.where(F.col("length") < capacity)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    whole = rows.where(F.col("length") >= capacity).select(*names, (F.col("uid") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    todo = written(rows.where(F.col("length") < capacity), "todo")
     for epoch in range(EPOCHS):
         n = todo.count()
         if not n:
             break
         shards = -(-n // SHARD)
         last = epoch == EPOCHS - 1 or shards == 1
-
         shard = F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(shards)).alias("shard")
-        done = written(todo.select("*", shard).groupBy("shard").applyInArrow(_packer(epoch, last, capacity), f"{own}, uid long, sequence_id long, offset long"), f"epoch{epoch}")
-        out.append(done.where("sequence_id is not null").drop("uid"))
-        todo = done.where("sequence_id is null").drop("sequence_id", "offset")
+        found = written(todo.select(shard, "uid", "length").groupBy("shard").applyInArrow(_best_fit(capacity), "shard long, uid long, length long, bin int, open boolean"), "best")
+        best, open_ = found.where("NOT open").select("shard", "uid", "bin"), found.where("open")
+        if not open_.isEmpty():
+            best = best.unionByName(_searched(open_, epoch, capacity))
+        own = Window.partitionBy("shard", "bin")
+        rows = todo.join(best, "uid").withColumn("filled", F.sum("length").over(own)).withColumn("offset", F.sum("length").over(own.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)))
+        stays = F.lit(True) if last else F.col("filled") >= FULL * capacity
+        rows = written(rows.select(*names, "uid", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.when(stays, F.lit(epoch << 56) + F.col("shard") * (1 << 16) + F.col("bin")).cast("long").alias("sequence_id")), "packed")
+        whole = whole.unionByName(rows.where("sequence_id is not null").select(*whole.columns))
+        todo = rows.where("sequence_id is null").select(*names, "uid")
         if last:
             break
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
     return whole

@@ -78,3 +78,36 @@ def test_genetic_beats_best_fit():
         assert len(bins) <= plain and bins == packing.evolved(sizes, 2048, seed)
         better += len(bins) < plain
     assert packing.evolved([], 2048, 0) == []
+
+
+def triplets(rnd, n):
+    """Sizes that fill n bins exactly by threes, which best fit misses."""
+    sizes = []
+    for _ in range(n):
+        a = rnd.randrange(520, 900)
+        b = rnd.randrange(520, 2048 - a - 400)
+        sizes += [a, b, 2048 - a - b]
+    rnd.shuffle(sizes)
+    return sizes
+
+
+def test_islands_beat_best_fit_with_production_parameters(spark):
+    """Several shards whose best fit isn't optimal, through the query's own path."""
+    import random
+
+    sizes = triplets(random.Random(9), 2500)
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES)
+    got = packing.packed(rows).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+    plain = len(packing.best_fit(packing.largest_first(sizes), sizes, 2048).bins)
+    assert sorted(r.doc_id for r in got) == list(range(len(sizes))) and 2500 <= len(bins) < plain
+    # searched by the islands of each shard, fewer bins than its best fit
+    shard = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes[:3000])], "shard long, uid long, length long")
+    found = packing._searched(shard, 0, 2048).collect()
+    assert sorted(r.uid for r in found) == list(range(3000))
+    assert len({r.bin for r in found}) < len(packing.best_fit(packing.largest_first(sizes[:3000]), sizes[:3000], 2048).bins)
