@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import field_hash
+
 
 def project(df: DataFrame, positions: Sequence[int]) -> DataFrame:
     """Keeps, reorders or repeats fields by position; a repeat is named after its place."""
@@ -30,7 +32,7 @@ def sample(df: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
 def sample_by_key(df: DataFrame, percent: int, *keys: str) -> DataFrame:
     """The rows whose keys' hash falls below the percentage: the same ones on every run and in every partitioning."""
     _percent(percent)
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(100)) < percent)
+    return df.where(F.pmod(field_hash(*keys), F.lit(100)) < percent)
 
 
 def _percent(percent: int) -> None:

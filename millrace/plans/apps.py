@@ -31,10 +31,11 @@ def sort_files(spark: SparkSession, source: str, target: str | None) -> DataFram
     return write_lines(out, target) if target else out
 
 
-def k_means(points: DataFrame, centres: list[list[float]], threshold: float, max_rounds: int = 100, vector: str = "vector") -> tuple[DataFrame, list[list[float]], int]:
+def k_means(points: DataFrame, centres: list[list[float]], threshold: float, max_rounds: int | None = None, vector: str = "vector") -> tuple[DataFrame, list[list[float]], int]:
     """points with the index of their centre and that centre; the centres (their number is the caller's, so they stay
     with the driver); the number of rounds. A new centre is the mean of its points, to two decimals; the least index
-    wins ties; a centre without points goes. Ends when the centres moved by at most threshold in all."""
+    wins ties; a centre without points goes. Ends when the centres moved by at most threshold in all, or after max_rounds where
+    that is given."""
     spark = points.sparkSession
     dims, rounds = len(centres[0]), 0
     while True:

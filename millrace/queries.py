@@ -99,7 +99,7 @@ def sample_rows(spark, sf):
     return relational.sample(lineitem(spark, sf), 10, seed=1)
 
 
-@query()
+@query("SELECT * FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 100 < 10")
 def sample_by_key(spark, sf):
     return relational.sample_by_key(orders(spark, sf), 10, "o_orderkey")
 
@@ -343,7 +343,7 @@ def round_half_up(spark, sf):
     return orders(spark, sf).select("o_orderkey", round2(F.col("o_totalprice") / 7).alias("share"))
 
 
-@query()
+@query("SELECT o_orderkey, CAST('0x' || substr(md5(concat(o_orderkey, '|', o_orderstatus)), 1, 15) AS BIGINT) AS h FROM orders")
 def hash_of_fields(spark, sf):
     return orders(spark, sf).select("o_orderkey", field_hash("o_orderkey", "o_orderstatus").alias("h"))
 
@@ -396,7 +396,7 @@ def slot_counts(spark, sf):
 def k_means(spark, sf):
     points = embeddings(spark, sf).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), round2).alias("vector"))
     first = [list(r.vector) for r in points.orderBy("vec_id").limit(5).collect()]
-    return apps.k_means(points, first, 0.0, max_rounds=5)[0].select("vec_id", "index")
+    return apps.k_means(points, first, 0.0)[0].select("vec_id", "index")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_lines(df: DataFrame, path: str, overwrite: bool = True, gzip: bool = False) -> DataFrame:
-    """One line per row, its fields joined by a blank; arrays as [a, b]; a null field is empty text. A row without a
-    value is left out. Passes the rows on."""
+    """One line per row, its fields joined by a blank; arrays as [a, b]; a null field is empty text. Rows of no
+    field write nothing; a row whose fields are empty writes an empty line. Passes the rows on."""
     lines = df.select(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
-    lines.where(F.trim("value") != "").write.mode("overwrite" if overwrite else "append").option("compression", "gzip" if gzip else "none").text(path)
+    (lines if df.columns else lines.limit(0)).write.mode("overwrite" if overwrite else "append").option("compression", "gzip" if gzip else "none").text(path)
     return df
 
 

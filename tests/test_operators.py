@@ -69,6 +69,24 @@ def test_slack_sort(spark, descending, compat, out, left):
     assert [r.v for r in df.orderBy("out").collect()] == (out if compat else out + left)
 
 
+@pytest.mark.parametrize("slack", [0, 1, 5])
+def test_slack_sort_in_ranges(spark, monkeypatch, slack):
+    """Many ranges, groups and ties give what one buffer gives."""
+    monkeypatch.setattr(ordering, "RANGE", 12)
+    rnd = random.Random(slack)
+    rows = [(i, rnd.randrange(9), rnd.choice(["a", "b", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "seq long, v long, g string")
+    for descending in (False, True):
+        for compat in (False, True):
+            for group in (None, "g"):
+                got = ordering.slack_sort(df, "seq", "v", slack, descending, compat, group=group).collect()
+                for g in {r[2] for r in rows} if group else {0}:
+                    own = [r for r in rows if not group or r[2] == g]
+                    out, left = ordering.slack_sorted(own, lambda r: r[1], slack, descending, compat)
+                    want = [(r[0], i) for i, r in enumerate(out if compat else out + left, 1)]
+                    assert sorted((r.seq, r.out) for r in got if not group or r.g == g) == sorted(want)
+
+
 def join_model(events, size):
     held, out = {"a": [], "b": []}, set()
     for s, (side, k) in enumerate(events, 1):

@@ -35,9 +35,13 @@ def test_files(spark, folder):
     apps.word_count_files(spark, f"{folder}/a", f"{folder}/out")
     assert sorted(r.value for r in spark.read.text(f"{folder}/out").collect()) == ["x 2", "y 3", "z 1"]
     apps.sort_files(spark, f"{folder}/a", f"{folder}/sorted")
-    assert files.read(spark, "text", path=f"{folder}/sorted").count() == 3  # the empty line has no value
+    assert files.read(spark, "text", path=f"{folder}/sorted").count() == 4  # an empty line is a row like others
     write_lines(spark.createDataFrame([(1, [1.5, 2.0], None)], "a int, b array<double>, c string"), f"{folder}/gz", gzip=True)
     assert spark.read.text(f"{folder}/gz").first().value == "1 [1.5, 2.0] "
+    write_lines(spark.createDataFrame([(" ",), ("",), (None,), ("x",)], "a string"), f"{folder}/blank")
+    assert sorted(r.value for r in spark.read.text(f"{folder}/blank").collect()) == ["", "", " ", "x"]
+    write_lines(spark.range(3).select(), f"{folder}/none")
+    assert spark.read.text(f"{folder}/none").count() == 0
     write_with(spark.range(10).repartition(3), lambda k, rows, to=str(folder): open(f"{to}/part{k}", "w").write(json.dumps([r.id for r in rows])))
     assert sorted(sum((json.loads((folder / f"part{k}").read_text()) for k in range(3)), [])) == list(range(10))
     assert [r.id for r in result(spark.range(5))] == list(range(5))
