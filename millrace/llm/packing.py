@@ -27,7 +27,7 @@ from .records import steps
 from .tokens import encoder, le
 
 CAPACITY, SHARD, EPOCHS = 2048, 4096, 4
-ISLANDS, POPULATION, ROUNDS, ROUND = 4, 4, 3, 10
+ISLANDS, POPULATION, ROUNDS, ROUND = 2, 4, 3, 10
 #: Share of a bin from which it stays as it is between epochs.
 FULL = 0.9985
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -124,8 +124,20 @@ def mutated(a: Bins, sizes: list[int], rnd: random.Random) -> Bins:
 
 
 def fewest(sizes: list[int], capacity: int) -> int:
-    """No packing has fewer bins."""
-    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    """No packing has fewer bins: for any k, pieces over half a bin have bins of their own; those of them over capacity
+    - k take nothing of k or more besides, and what the others leave is all that there is for pieces from k to a half
+    before further bins are begun."""
+    if not sizes:
+        return 0
+    s = np.sort(np.array(sizes, dtype=np.int64))
+    sums = np.concatenate([[0], np.cumsum(s)])
+    half = np.searchsorted(s, capacity / 2, side="right")
+    k = np.unique(np.concatenate([[0], s[:half]]))
+    over, least = np.searchsorted(s, capacity - k, side="right"), np.searchsorted(s, k, side="left")
+    over = np.maximum(over, half)
+    left = (over - half) * capacity - (sums[over] - sums[half])
+    more = np.maximum(0, -((left - (sums[half] - sums[least])) // capacity))
+    return int((len(s) - half + more).max())
 
 
 def largest_first(sizes: list[int]) -> list[int]:

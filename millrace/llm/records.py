@@ -30,7 +30,7 @@ HEAD, INDEX = "<BqI", "<QQq"
 MANIFEST = "shard string, idx string, first_id long, part int, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids binary"
 #: Characters of texts that a task encodes at a time.
-STEP = 1_500_000
+STEP = 2_000_000
 
 
 def masked(data: bytes) -> int:

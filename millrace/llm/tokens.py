@@ -16,10 +16,10 @@ import numpy as np
 from .common import worker_only
 
 #: Chunks that a worker keeps (about 30 bytes each); beyond, it drops those least met since it last did.
-KEPT = 200_000
+KEPT = 250_000
 #: Letter stems of a generation that a worker keeps (about 200 bytes each). The generation before is kept too, and what
 #: is met again of it moves on, so that frequent ones are never forgotten.
-KEPT_STEMS = 100_000
+KEPT_STEMS = 120_000
 #: White space other than blanks and line ends; adjacent white space; what begins the marks of special tokens.
 UNUSUAL = r"\t\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD = rf"[ \n][ \n]|[{UNUSUAL}]|<\|"
