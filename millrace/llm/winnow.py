@@ -105,7 +105,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     that are named as those made here are overwritten; an empty table gives no row."""
     gone = repeated_lines(docs).select(F.struct("doc_id", "th").alias("__doc"), F.col("gone").alias("__gone"))
     rows = docs.drop("n_lines", "n_deleted").withColumn("__doc", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
-    rows = rows.join(gone, rows["__doc"].eqNullSafe(gone["__doc"]), "left").drop("__doc")
+    # merged whatever the size of gone, which grows with the input: work and disk then grow in proportion
+    rows = rows.join(gone.hint("merge"), rows["__doc"].eqNullSafe(gone["__doc"]), "left").drop("__doc")
     rows = rows.withColumn("__lines", F.when(F.col("text").isNotNull(), F.split("text", "\n", -1)))
     # lines and marks of deleted ones in one order: a line goes that a mark follows
     both = F.expr("sort_array(concat(transform(__lines, (l, k) -> struct(k, 0 AS mark, l)), transform(__gone, k -> struct(k, 1 AS mark, '' AS l))))")
