@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import distance
 from .positions import in_range, ranges
@@ -53,28 +54,86 @@ def window_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str =
     return _with_rows(first_low.unionByName(first_high), low, high, seq)
 
 
+def _first_at_least(values: list, limits: list) -> list:
+    """For each place the first later place whose value is at least the limit of the first, or None."""
+    from bisect import bisect_right
+
+    ahead, places, out = [], [], [None] * len(values)  # the places that top all between them, the nearest last; values negated
+    for i in range(len(values) - 1, -1, -1):
+        if at := bisect_right(ahead, -limits[i]):
+            out[i] = places[at - 1]
+        if values[i] is not None:
+            while ahead and -ahead[-1] <= values[i]:
+                ahead.pop(), places.pop()
+            ahead.append(-values[i]), places.append(i)
+    return out
+
+
+def _first_of(tops: list, limit) -> int | None:
+    """The part of the first of (top, part) in rising order whose top is enough."""
+    from bisect import bisect_left
+
+    at = bisect_left(tops, limit, key=lambda t: t[0])
+    return tops[at][1] if at < len(tops) else None
+
+
 def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "seq") -> DataFrame:
-    """An arrival of value v drops from the other side what has at most v - size, then meets what has v. A row is
-    there until the first arrival of the other side with its value plus size, or more: that is looked for in the row's
-    own range of the sequence, else in the first later range whose greatest value is enough."""
+    """An arrival of value v drops from the other side what has at most v - size, then meets what has v. on holds
+    numbers; a null meets nothing, NaN is as great as infinity. seq is unique over both.
+
+    A row is there until the first later arrival of the other side with its value plus size, or more: its end. A row x
+    meets a later y of the same value if that end comes after y, which is to say if the first arrival of y's own side
+    that ends x is also the first after y that would. So each row gets both sides' next end, and rows join on the
+    value and the end: what meets in a value of any frequency is what was there together. An end is looked for in the
+    row's own range of the sequence, else it is the first later range whose greatest value is enough; the driver holds
+    a number per range and side."""
     rows = low.select(F.col(seq).alias("seq"), F.col(on).alias("key"), F.lit(0).alias("side")).unionByName(high.select(F.col(seq).alias("seq"), F.col(on).alias("key"), F.lit(1).alias("side"))).where("key is not null")
     if size < 1:
         return _with_rows(rows.where(F.lit(False)).select(F.col("seq").alias("seq_l"), F.col("seq").alias("seq_h")), low, high, seq)
-    bounds = ranges(rows, "seq", rows=2_000)
-    rows = rows.withColumn("part", in_range("seq", bounds)).withColumn("limit", F.col("key") + size)
-    tops = rows.groupBy("side", "part").agg(F.max("key").alias("top"))
-    tops = tops.groupBy(F.expr("1 - side").alias("side")).agg(F.sort_array(F.collect_list(F.struct("part", "top"))).alias("tops"))  # a row per range at most
-    rows = rows.join(F.broadcast(tops), "side", "left")
-    rows = rows.withColumn("later", F.expr("try_element_at(filter(tops, t -> t.part > part AND t.top >= limit), 1).part")).drop("tops")
-    other = rows.select(F.col("part").alias("p2"), F.expr("1 - side").alias("s2"), F.col("seq").alias("z"), F.col("key").alias("zk"))
-    looks = rows.select("seq", "side", "limit", F.explode(F.array("part", "later")).alias("at")).where("at is not null")
-    ends = looks.join(other, (looks["at"] == other["p2"]) & (looks["side"] == other["s2"]) & (F.col("z") > F.col("seq")) & (F.col("zk") >= F.col("limit"))).groupBy("seq").agg(F.min("z").alias("end"))
-    rows = rows.select("seq", "key", "side").join(ends, "seq", "left")
-    x = rows.select("key", F.col("seq").alias("s0"), F.col("end").alias("e0")).where(F.col("side") == 0)
-    y = rows.select("key", F.col("seq").alias("s1"), F.col("end").alias("e1")).where(F.col("side") == 1)
-    there = lambda first, end, then: (F.col(first) < F.col(then)) & (F.col(end).isNull() | (F.col(then) < F.col(end)))
-    pairs = x.join(y, "key").where(there("s0", "e0", "s1") | there("s1", "e1", "s0")).select(F.col("s0").alias("seq_l"), F.col("s1").alias("seq_h"))
-    return _with_rows(pairs, low, high, seq)
+    rows = rows.withColumn("part", in_range("seq", ranges(rows, "seq")))
+    tops = [(r["part"], r["side"], _whole(r["top"])) for r in rows.groupBy("part", "side").agg(F.max("key").alias("top")).orderBy("part").collect()]  # two a range at most
+    kinds = rows.schema
+    schema = T.StructType([*kinds.fields[:3], *[T.StructField(f"part{s}", T.IntegerType()) for s in (0, 1)], *[T.StructField(f"end{s}", kinds["seq"].dataType) for s in (0, 1)]])
+
+    def ends(pdf):
+        """part0, end0: where the next end by side 0 lies; without end0 it is the first of that part that is enough."""
+        import pandas as pd
+
+        pdf = pdf.sort_values("seq")
+        part, seqs, keys, sides = int(pdf["part"].iloc[0]), pdf["seq"].tolist(), [_whole(k) for k in pdf["key"].tolist()], pdf["side"].tolist()
+        limits = [k + size for k in keys]
+        out = {"seq": pdf["seq"], "key": pdf["key"], "side": pdf["side"]}
+        for side in (0, 1):
+            own = [k if s == side else None for k, s in zip(keys, sides)]
+            later, rising = [], []  # tops of later ranges, places of this one, that top all before
+            for p, s, top in tops:
+                if s == side and p > part and (not later or top > later[-1][0]):
+                    later.append((top, p))
+            for i, k in enumerate(own):
+                if k is not None and (not rising or k > rising[-1][0]):
+                    rising.append((k, i))
+            where, end = [], []
+            for at, limit in zip(_first_at_least(own, limits), limits):
+                where.append(part if at is not None else _first_of(later, limit))
+                end.append(None if at is None or at == _first_of(rising, limit) else seqs[at])
+            out |= {f"part{side}": pd.Series(where, index=pdf.index, dtype=object), f"end{side}": pd.Series(end, index=pdf.index, dtype=object)}
+        return pd.DataFrame(out)[schema.fieldNames()]
+
+    told = rows.groupBy("part").applyInPandas(ends, schema)
+
+    def met(first: int) -> DataFrame:
+        """Rows of side first with later ones of the other side."""
+        of = lambda side, name: told.where(F.col("side") == side).select("key", F.col("seq").alias(name), F.col(f"part{1 - first}").alias(f"part_{name}"), F.col(f"end{1 - first}").alias(f"end_{name}"))
+        x, y = of(first, "x"), of(1 - first, "y")
+        same = (x["key"] == y["key"]) & x["part_x"].eqNullSafe(y["part_y"]) & x["end_x"].eqNullSafe(y["end_y"])
+        return x.join(y, same).where("x < y").select(F.col("y" if first else "x").alias("seq_l"), F.col("x" if first else "y").alias("seq_h"))
+
+    return _with_rows(met(0).unionByName(met(1)), low, high, seq)
+
+
+def _whole(value):
+    """NaN as infinity, which Python can order."""
+    return value if value == value else float("inf")
 
 
 def cogroup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:

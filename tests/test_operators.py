@@ -127,6 +127,20 @@ def test_band_join(spark, monkeypatch):
         assert {(r.seq_l, r.seq_h) for r in joins.band_join(side("a"), side("b"), "k", size).collect()} == band_model(events, size)
 
 
+def test_band_join_of_a_frequent_key(spark, monkeypatch):
+    """One value holds nearly all rows; what ends them comes from either side, in other ranges, and many times."""
+    real = positions.ranges
+    monkeypatch.setattr(joins, "ranges", lambda df, s, rows=9: real(df, s, 9))
+    rnd = random.Random(4)
+    for odd in (0.0, 0.1, 0.3):
+        events = [(rnd.choice("ab"), rnd.choice([9, 30, -5]) if rnd.random() < odd else 7) for _ in range(90)]
+        side = lambda x: spark.createDataFrame([(s, float(k)) for s, (y, k) in enumerate(events, 1) if x == y], "seq long, k double")  # noqa: E731, B023
+        assert {(r.seq_l, r.seq_h) for r in joins.band_join(side("a"), side("b"), "k", 2).collect()} == band_model(events, 2)
+    nulls = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.0)], "seq long, k double")
+    others = spark.createDataFrame([(4, None), (5, float("nan")), (6, 1.0)], "seq long, k double")
+    assert [(r.seq_l, r.seq_h) for r in joins.band_join(nulls, others, "k", 2).collect()] == []
+
+
 def test_shared_names_take_the_lower_channel(spark):
     low = spark.createDataFrame([(1, 7, "low", 1)], "seq long, k long, x string, p int")
     high = spark.createDataFrame([(2, 7, "high", 2)], "seq long, k long, x string, q int")
