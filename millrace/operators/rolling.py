@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import rankings
+from .positions import numbered
 
 
 def slot_counts(df: DataFrame, word: str, slot: str, slots: int) -> DataFrame:
@@ -19,6 +20,12 @@ def slot_counts(df: DataFrame, word: str, slot: str, slots: int) -> DataFrame:
     return each.groupBy("word", "slot").agg(F.sum(F.when(F.col("slot") - F.col("at") < slots, F.col("n")).otherwise(0)).alias("n")).select("word", "slot", "n")
 
 
+def tuple_counts(df: DataFrame, word: str, seq: str, slots: int) -> DataFrame:
+    """word, slot, n: slot_counts() with each row as a slot of its own, numbered by place, so that every arrival gives
+    the counts over the last slots rows."""
+    return slot_counts(numbered(df.select(seq, word), seq, name="__place"), word, "__place", slots)
+
+
 def rolling_counts(df: DataFrame, word: str, ts: str, window: str = "10 seconds", slide: str = "1 second", delay: str | None = None) -> DataFrame:
     """word, start, end, n over sliding windows of time; on streams too, then with a watermark of delay."""
     df = df.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -33,6 +40,4 @@ def trending(df: DataFrame, word: str, ts: str, k: int = 10, window: str = "10 s
 
 def running_counts(df: DataFrame, word: str, seq: str) -> DataFrame:
     """seq, word, n: how often each row's word has come so far."""
-    from .positions import numbered
-
     return numbered(df.select(seq, F.col(word).alias("word")), seq, "word", "n")

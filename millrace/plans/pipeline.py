@@ -48,10 +48,15 @@ class Path:
 
     def join(self, other: Path, on: str, size: int, by_window: bool = True) -> Path:
         """This path is channel 0. by_window: over the last size rows; else over a band of values."""
-        f = joins.window_join if by_window else joins.band_join
-        out = f(self.df, other.df.withColumnRenamed(other.seq, self.seq), on, size, self.seq)
         from pyspark.sql import functions as F
 
+        high = other.df.withColumnRenamed(other.seq, self.seq)
+        if self.df.isStreaming or high.isStreaming:
+            from ..streaming.stateful import stream_join
+
+            out = stream_join(self.df, high, on, size, self.seq, by_window)
+        else:
+            out = (joins.window_join if by_window else joins.band_join)(self.df, high, on, size, self.seq)
         return Path(out.withColumn(self.seq, F.greatest("seq_l", "seq_h")).drop("seq_l", "seq_h"), self.seq)
 
     def union(self, other: Path) -> Path:

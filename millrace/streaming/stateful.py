@@ -1,5 +1,5 @@
-"""Stateful processors for what depends on the order of arrival: count windows, slack sort, count-window join and
-running counts. State lives in the state store and survives lost executors; each group is one key, and a stream
+"""Stateful processors for what depends on the order of arrival: count windows, slack sort, joins over windows of rows
+or of values, and running counts. State lives in the state store and survives lost executors; each group is one key, and a stream
 without groups is one key, as its order is global. Rows of a micro-batch are taken in order of seq."""
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructField, StructType
 
+from ..operators.joins import joined_columns
+
 
 def _ordered(frames: Iterator, seq: str):
     import pandas as pd
@@ -116,34 +118,101 @@ def stream_slack_sort(df: DataFrame, seq: str, attribute: str, slack: int, desce
     return df.where(F.col(attribute).isNotNull()).withColumn("__key", F.lit(0)).groupBy("__key").transformWithStateInPandas(_SlackSort(seq, attribute, slack, descending, compat, names), schema, "Append", "None")
 
 
-class _WindowJoin(StatefulProcessor):
-    def __init__(self, seq, size):
-        self.seq, self.size = seq, size
+class _RowJoin(StatefulProcessor):
+    def __init__(self, on, size, by_window):
+        self.args = on, size, by_window
 
     def init(self, handle):
-        self.sides = [handle.getValueState(f"side{i}", "seqs array<long>, keys array<long>") for i in (0, 1)]
+        self.sides = [handle.getValueState(f"side{i}", "rows array<binary>") for i in (0, 1)]
 
     def handleInputRows(self, key, rows, timerValues):
+        import pickle
+
         import pandas as pd
 
-        held = [list(zip(*s.get())) if s.exists() else [] for s in self.sides]
+        on, size, by_window = self.args
+        held = [[pickle.loads(bytes(r)) for r in s.get()[0]] if s.exists() else [] for s in self.sides]
         out = []
-        for seq, k, side in _ordered(rows, "seq")[["seq", "key", "side"]].itertuples(index=False):
-            for s, other in held[1 - side]:
-                if other == k:
-                    out.append((s, seq) if side else (seq, s))
-            held[side] = [*held[side][-(self.size - 1) :], (int(seq), int(k))] if self.size > 1 else [(int(seq), int(k))]
+        for seq, side, *both in _ordered(rows, "seq")[["seq", "side", "l", "h"]].itertuples(index=False):
+            row = both[side]
+            row = row if isinstance(row, dict) else row.asDict()
+            k = row[on]
+            if k is not None and k != k:
+                k = "NaN" if by_window else float("inf")
+            if not by_window:
+                if k is None:
+                    continue
+                held[1 - side] = [e for e in held[1 - side] if e[1] > k - size]
+            for s, other, r in held[1 - side]:
+                if k is not None and other == k:
+                    out.append((s, seq, r, row) if side else (seq, s, row, r))
+            held[side].append((seq, k, row))
+            if by_window:
+                del held[side][:-size]
         for s, h in zip(self.sides, held):
-            s.update(([a for a, _ in h], [b for _, b in h]))
-        yield pd.DataFrame(out, columns=["seq_l", "seq_h"]).astype("int64")
+            s.update(([pickle.dumps(e) for e in h],))
+        yield pd.DataFrame(out, columns=["seq_l", "seq_h", "l", "h"], dtype=object)
 
     def close(self):
         pass
 
 
+def _row_pairs(both: DataFrame, on: str, size: int, by_window: bool) -> DataFrame:
+    """seq_l, seq_h, l, h of a stream of both sides: seq, side (0 or 1), l or h (the row, the other null)."""
+    if by_window and size < 1:
+        raise ValueError("size is at least 1")
+    kinds = both.schema
+    schema = StructType([*[StructField(n, kinds["seq"].dataType) for n in ("seq_l", "seq_h")], *[StructField(n, kinds[n].dataType) for n in ("l", "h")]])
+    return both.withColumn("__key", F.lit(0)).groupBy("__key").transformWithStateInPandas(_RowJoin(on, size, by_window), schema, "Append", "None")
+
+
+def stream_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "seq", by_window: bool = True) -> DataFrame:
+    """The streaming form of window_join() and, without by_window, of band_join(): seq_l, seq_h and the joined columns.
+    Rows of a micro-batch are taken in order of seq over both sides; what comes in a later one comes later. Band joins
+    hold rows for as long as the other side's values don't rise."""
+    empty = lambda d: F.lit(None).cast(StructType(d.schema.fields))
+    side = lambda d, k, l, h: d.select(F.col(seq).alias("seq"), F.lit(k).alias("side"), l.alias("l"), h.alias("h"))
+    both = side(low, 0, F.struct(*low.columns), empty(high)).unionByName(side(high, 1, empty(low), F.struct(*high.columns)))
+    return _row_pairs(both, on, size, by_window).select("seq_l", "seq_h", *[F.col(f"{at}.{c}").alias(c) for at, c in joined_columns(low, high, seq)])
+
+
 def stream_window_join(tagged: DataFrame, size: int) -> DataFrame:
     """seq_l, seq_h: the pairs of window_join() over a stream of both sides: seq long, key long, side (0 or 1)."""
-    return tagged.where("key is not null").withColumn("__key", F.lit(0)).groupBy("__key").transformWithStateInPandas(_WindowJoin("seq", size), "seq_l long, seq_h long", "Append", "None")
+    row = F.struct("seq", "key")
+    both = tagged.select("seq", "side", F.when(F.col("side") == 0, row).alias("l"), F.when(F.col("side") == 1, row).alias("h"))
+    return _row_pairs(both, "key", size, True).select("seq_l", "seq_h")
+
+
+class _TupleCounts(StatefulProcessor):
+    def __init__(self, slots):
+        self.slots = slots
+
+    def init(self, handle):
+        self.state = handle.getValueState("last", "words array<string>, n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        from collections import Counter
+
+        import pandas as pd
+
+        last, n = self.state.get() if self.state.exists() else ([], 0)
+        last, out = list(last), []  # the last slots words and the one that has just gone
+        for word in _ordered(rows, "seq")["word"]:
+            last, n = [*last, word][-self.slots - 1 :], n + 1
+            now = Counter(last[-self.slots :])
+            out += [(w, n, now[w]) for w in dict.fromkeys(last)]
+        self.state.update((last, n))
+        yield pd.DataFrame(out, columns=["word", "slot", "n"])
+
+    def close(self):
+        pass
+
+
+def stream_tuple_counts(df: DataFrame, slots: int) -> DataFrame:
+    """The streaming form of tuple_counts(), over seq long, word string."""
+    if slots < 2:
+        raise ValueError("at least 2 slots")
+    return df.select("seq", "word").withColumn("__key", F.lit(0)).groupBy("__key").transformWithStateInPandas(_TupleCounts(slots), "word string, slot long, n long", "Append", "None")
 
 
 class _RunningCount(StatefulProcessor):

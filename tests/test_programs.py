@@ -9,7 +9,7 @@ import pytest
 from millrace.functions.predicates import Constraint, Op
 from millrace.operators import joins, ordering, rolling, windows
 from millrace.plans import apps
-from millrace.plans.actions import Action, Job, apply
+from millrace.plans.actions import Action, Job, apply, gather
 from millrace.plans.pipeline import Path
 from millrace.sinks.files import Throughput, result, write_lines, write_with
 from millrace.sources import files, generators
@@ -94,6 +94,24 @@ def test_actions_and_jobs(spark):
     assert "no" not in order
 
 
+class Labeller(Action):
+    schema = "v long, label string"
+
+    def process(self, row):
+        self.context.put("most", max(row[0], self.context.get("most", 0)))
+        yield row[0], self.context.properties["prefix"] + self.context.get("names")[row[0] % 2]
+
+
+def test_actions_see_their_job(spark):
+    job, df = Job({"prefix": "n-"}), spark.range(10, numPartitions=2)
+    job.step(lambda j: j.put("names", ["even", "odd"]), notifies="named")
+    job.step(lambda j: [r.label for r in apply(df, Labeller, job=j).orderBy("v").collect()], waits_for=("named",), notifies="labels")
+    job.step(lambda j: j.put("most", gather(df, Labeller, "most", "none", job=j)), waits_for=("named",), notifies="most")
+    assert job.run()["labels"] == ["n-even", "n-odd"] * 5
+    assert job.get("most") == {"most": [4, 9], "none": []} and job.get("nothing") is None
+    assert gather(df.where("id < 0"), Labeller, "most") == {"most": []}
+
+
 def test_k_means(spark):
     points = spark.createDataFrame([([0.0, 0.0],), ([0.0, 1.0],), ([10.0, 10.0],), ([10.0, 11.0],)], "vector array<double>")
     out, centres, rounds = apps.k_means(points, [[0.0, 0.0], [9.0, 9.0], [500.0, 500.0]], 0.0)
@@ -144,6 +162,38 @@ def test_streams_equal_batches(spark, arriving):
     assert rows_of(run_stream(spark, stateful.stream_running_counts(stream().withColumn("word", F.col("v").cast("string"))), "r")) == rows_of(want)
 
 
+@pytest.mark.parametrize("by_window, size", [(True, 6), (False, 3)])
+def test_joins_on_streams(spark, arriving, by_window, size):
+    """A path that splits and joins again gives on a stream what it gives on a batch, with all columns."""
+    batch, stream = arriving
+
+    def joined(df):
+        odd = F.when(F.col("seq") % 7 > 0, F.col("seq") % 7 + F.col("seq").cast("long") * 0)
+        path = Path(df.select("seq", "v", "B", "ts").withColumn("k", F.expr("seq div 10 + v % 4") if not by_window else odd))
+        low, high = path.split()
+        low = low.filter(Constraint("B", Op.GT, 4)).map("k", "v", "ts")
+        return low.join(high.then(lambda d: d.where("B <= 4").select("seq", "k", F.when(F.col("v") > 3, F.col("v")).alias("w"))), "k", size, by_window).df
+
+    want = joined(batch)
+    got = joined(stream())
+    assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+    rows = rows_of(want.select([F.col(c).cast("string") for c in want.columns]).na.fill("-"))
+    assert len(rows) > 20
+    assert rows_of(run_stream(spark, got, f"path_join_{size}").select([F.col(c).cast("string") for c in want.columns]).na.fill("-")) == rows
+
+
+def test_counts_at_each_tuple(spark, arriving):
+    few = spark.createDataFrame(list(enumerate("abac")), "seq long, word string")
+    got = {}
+    for r in rolling.tuple_counts(few, "word", "seq", 3).collect():
+        got.setdefault(r.slot, {})[r.word] = r.n
+    assert got == {1: {"a": 1}, 2: {"a": 1, "b": 1}, 3: {"a": 2, "b": 1}, 4: {"a": 1, "b": 1, "c": 1}}
+    batch, stream = arriving
+    words = lambda df: df.select("seq", F.col("B").cast("string").alias("word"))
+    want = rolling.tuple_counts(words(batch), "word", "seq", 4)
+    assert rows_of(run_stream(spark, stateful.stream_tuple_counts(words(stream()), 4), "tuples").select("word", "slot", "n")) == rows_of(want.select("word", "slot", "n"))
+
+
 def test_streaming_programs(spark, arriving):
     batch, stream = arriving
     phrases = lambda df: df.select(F.concat_ws(" ", "A", "B").alias("phrase"))
