@@ -11,8 +11,12 @@ from .functions.predicates import Constraint, Op, keep
 from .functions.scalars import distance, field_hash, round2, tokens, words
 from .operators import joins, ordering, relational, rolling, windows
 from .plans import apps
+from .plans.actions import Action, Job, apply
 from .plans.pipeline import Path
-from .sources.files import Buckets, read_table
+from .sinks.files import write_lines
+from .sinks.streams import finished, shared_folder
+from .sources.files import Buckets, read, read_table, read_with
+from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,7 +164,18 @@ def top_k(spark, sf):
     return ordering.top_k(orders(spark, sf).select("o_orderkey", "o_totalprice"), 10, F.col("o_totalprice").desc(), "o_orderkey")
 
 
-@query()
+def _slack_sql(slack: int, flush: bool) -> str:
+    """A row goes at the arrival after the first place by which slack others, from before or after it, go later."""
+    held = "" if flush else " WHERE goes <= total"
+    return f"""WITH n AS (SELECT event_id AS seq, user_id, event_type, {MEASURE} AS v, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (ORDER BY v, i) AS place, count(*) OVER () AS total FROM n),
+    t AS (SELECT r.i, min(w.i, {slack}) AS first FROM k AS r JOIN k AS w ON w.place > r.place GROUP BY r.i),
+    g AS (SELECT k.*, CASE WHEN len(first) >= {slack} THEN greatest(k.i, first[{slack}]) + 1 END AS goes FROM k LEFT JOIN t ON t.i = k.i)
+    SELECT seq, user_id, event_type, v, CASE WHEN goes <= total THEN goes - {slack + 1}
+        ELSE greatest(total - {slack + 1}, 0) + row_number() OVER (PARTITION BY coalesce(goes <= total, false) ORDER BY v, i) END AS out FROM g{held}"""
+
+
+@query(_slack_sql(100, True))
 def slack_sort(spark, sf):
     return Path(stream(spark, sf)).sort("v", 100).df
 
@@ -399,6 +414,92 @@ def k_means(spark, sf):
     return apps.k_means(points, first, 0.0)[0].select("vec_id", "index")
 
 
+_TUPLES = """WITH e AS (SELECT event_type AS word, row_number() OVER (ORDER BY event_id) AS t FROM events), m AS (SELECT max(t) AS last FROM e)
+    SELECT word, slot, CAST(sum(CASE WHEN slot - t < 5 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT word, t, unnest(range(t, least(t + 5, (SELECT last FROM m)) + 1)) AS slot FROM e) GROUP BY ALL"""
+
+
+@query(_TUPLES)
+def tuple_counts(spark, sf):
+    return rolling.tuple_counts(events(spark, sf), "event_type", "event_id", 5)
+
+
+# Streams, run to the end of what has arrived
+def arriving(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
+    """stream(), read as a stream. A glob may name a file as well as a folder."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    df = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select(F.col("event_id").alias("seq"), "user_id", "event_type", F.expr(MEASURE).alias("v"))
+    return df.where(F.col("event_type") == kind) if kind else df
+
+
+@query(_window_frame_sql("AVG", 10, "user_id"))
+def stream_window_avg(spark, sf):
+    return finished(Path(arriving(spark, sf)).aggregate("v", "AVG", 10, 1, "user_id").df)
+
+
+@query(_window_sql("SUM", 8, 3, "user_id"))
+def stream_window_hop_sum(spark, sf):
+    return finished(Path(arriving(spark, sf)).aggregate("v", "SUM", 8, 3, "user_id").df)
+
+
+@query(_slack_sql(100, False))
+def stream_slack_sort(spark, sf):
+    return finished(Path(arriving(spark, sf)).sort("v", 100).df)
+
+
+@query(ORACLES["split_join"])
+def stream_split_join(spark, sf):
+    left, _ = Path(arriving(spark, sf, "click").select("seq", "user_id", F.col("v").alias("a"))).split()
+    right = Path(arriving(spark, sf, "view").select("seq", "user_id", F.col("v").alias("b")))
+    return finished(left.filter(Constraint("a", Op.GT, 10)).join(right, "user_id", 200).df)
+
+
+@query(ORACLES["band_join"])
+def stream_band_join(spark, sf):
+    one = arriving(spark, sf, "click").select("seq", F.expr("seq div 20").alias("k"), F.col("v").alias("a"))
+    two = arriving(spark, sf, "view").select("seq", F.expr("seq div 20 + v % 3").alias("k"), F.col("v").alias("b"))
+    return finished(stateful.stream_join(one, two, "k", 2, by_window=False))
+
+
+@query(ORACLES["running_word_counts"])
+def stream_running_counts(spark, sf):
+    return finished(stateful.stream_running_counts(arriving(spark, sf).withColumnRenamed("event_type", "word")))
+
+
+@query(_TUPLES)
+def stream_tuple_counts(spark, sf):
+    return finished(stateful.stream_tuple_counts(arriving(spark, sf).withColumnRenamed("event_type", "word"), 5))
+
+
+# Files
+@query("SELECT concat_ws(' ', n_nationkey, n_name, n_regionkey) AS line FROM nation")
+def write_then_read(spark, sf):
+    path = shared_folder(spark, "lines")
+    write_lines(nation(spark, sf).select("n_nationkey", "n_name", "n_regionkey"), path, gzip=True)
+    return read(spark, "text", path=path)
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS k, upper(n_name) AS name FROM nation")
+def custom_reader(spark, sf):
+    path = shared_folder(spark, "records")
+    write_lines(nation(spark, sf).select("n_nationkey", F.expr("concat('=', n_name)")), path)
+    records = lambda content: ((int(k), v.upper()) for k, v in (r.split(" =") for r in content.decode().splitlines()))
+    return read_with(spark, path, records, "k int, name string")
+
+
+class _Repeated(Action):
+    """Each row as often as its second field says, with the job's label."""
+
+    def process(self, row):
+        for i in range(row[1] % 3):
+            yield row[0], i, self.context.properties["label"] + self.context.get("names")[i]
+
+
+@query("SELECT n_nationkey, CAST(i AS INT) AS i, 'x-' || CASE i WHEN 0 THEN 'first' ELSE 'second' END AS label FROM (SELECT n_nationkey, unnest(range(n_regionkey % 3)) AS i FROM nation)")
+def user_action(spark, sf):
+    job = Job({"label": "x-"}).put("names", ["first", "second"])
+    return apply(nation(spark, sf).select("n_nationkey", "n_regionkey"), _Repeated, f"n_nationkey {nation(spark, sf).schema['n_nationkey'].dataType.simpleString()}, i int, label string", job)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The first pipeline of all: scan, filter, project, group."""
     return QUERIES["group_sum"](spark, sf)
