@@ -69,12 +69,12 @@ def _first_at_least(values: list, limits: list) -> list:
     return out
 
 
-def _first_of(tops: list, limit) -> int | None:
-    """The part of the first of (top, part) in rising order whose top is enough."""
+def _first_of(tops: list, limit, none):
+    """What belongs to the first of (top, what) in rising order whose top is enough."""
     from bisect import bisect_left
 
     at = bisect_left(tops, limit, key=lambda t: t[0])
-    return tops[at][1] if at < len(tops) else None
+    return tops[at][1] if at < len(tops) else none
 
 
 def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "seq") -> DataFrame:
@@ -90,13 +90,19 @@ def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "s
     rows = low.select(F.col(seq).alias("seq"), F.col(on).alias("key"), F.lit(0).alias("side")).unionByName(high.select(F.col(seq).alias("seq"), F.col(on).alias("key"), F.lit(1).alias("side"))).where("key is not null")
     if size < 1:
         return _with_rows(rows.where(F.lit(False)).select(F.col("seq").alias("seq_l"), F.col("seq").alias("seq_h")), low, high, seq)
-    rows = rows.withColumn("part", in_range("seq", ranges(rows, "seq")))
-    tops = [(r["part"], r["side"], _whole(r["top"])) for r in rows.groupBy("part", "side").agg(F.max("key").alias("top")).orderBy("part").collect()]  # two a range at most
+    rows = rows.withColumn("part", in_range("seq", ranges(rows, "seq", rows=10_000)))
+    tops = rows.groupBy("part", "side").agg(F.max("key").alias("top"), F.min("seq").alias("first")).orderBy("part").collect()  # two a range at most
+    firsts: dict = {}
+    for r in tops:
+        firsts[r["part"]] = min(r["first"], firsts.get(r["part"], r["first"]))
+    tops = [(r["part"], r["side"], _whole(r["top"])) for r in tops]
+    never = min(firsts.values(), default=None)
     kinds = rows.schema
-    schema = T.StructType([*kinds.fields[:3], *[T.StructField(f"part{s}", T.IntegerType()) for s in (0, 1)], *[T.StructField(f"end{s}", kinds["seq"].dataType) for s in (0, 1)]])
+    schema = T.StructType([*kinds.fields[:3], *[T.StructField(f"end{s}", kinds["seq"].dataType) for s in (0, 1)]])
 
     def ends(pdf):
-        """part0, end0: where the next end by side 0 lies; without end0 it is the first of that part that is enough."""
+        """end0, end1: what names each row's end by either side. If it is the first in its range that is enough, the
+        range's first row names it, which itself ends no row of its range; if there is none, the first row of all."""
         import pandas as pd
 
         pdf = pdf.sort_values("seq")
@@ -105,30 +111,28 @@ def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "s
         out = {"seq": pdf["seq"], "key": pdf["key"], "side": pdf["side"]}
         for side in (0, 1):
             own = [k if s == side else None for k, s in zip(keys, sides)]
-            later, rising = [], []  # tops of later ranges, places of this one, that top all before
+            later, rising = [], []  # tops of later ranges and values of this one that top all before
             for p, s, top in tops:
                 if s == side and p > part and (not later or top > later[-1][0]):
-                    later.append((top, p))
+                    later.append((top, firsts[p]))
             for i, k in enumerate(own):
                 if k is not None and (not rising or k > rising[-1][0]):
                     rising.append((k, i))
-            where, end = [], []
+            end = []
             for at, limit in zip(_first_at_least(own, limits), limits):
-                where.append(part if at is not None else _first_of(later, limit))
-                end.append(None if at is None or at == _first_of(rising, limit) else seqs[at])
-            out |= {f"part{side}": pd.Series(where, index=pdf.index, dtype=object), f"end{side}": pd.Series(end, index=pdf.index, dtype=object)}
+                if at is None:
+                    end.append(_first_of(later, limit, never))
+                else:
+                    end.append(firsts[part] if at == _first_of(rising, limit, None) else seqs[at])
+            out[f"end{side}"] = pd.Series(end, index=pdf.index, dtype=object)
         return pd.DataFrame(out)[schema.fieldNames()]
 
     told = rows.groupBy("part").applyInPandas(ends, schema)
-
-    def met(first: int) -> DataFrame:
-        """Rows of side first with later ones of the other side."""
-        of = lambda side, name: told.where(F.col("side") == side).select("key", F.col("seq").alias(name), F.col(f"part{1 - first}").alias(f"part_{name}"), F.col(f"end{1 - first}").alias(f"end_{name}"))
-        x, y = of(first, "x"), of(1 - first, "y")
-        same = (x["key"] == y["key"]) & x["part_x"].eqNullSafe(y["part_y"]) & x["end_x"].eqNullSafe(y["end_y"])
-        return x.join(y, same).where("x < y").select(F.col("y" if first else "x").alias("seq_l"), F.col("x" if first else "y").alias("seq_h"))
-
-    return _with_rows(met(0).unionByName(met(1)), low, high, seq)
+    # each row is held until the other side ends it, and met until its own side would
+    held = told.select("key", F.col("seq").alias("x"), F.col("side").alias("first"), F.when(F.col("side") == 0, F.col("end1")).otherwise(F.col("end0")).alias("end"))
+    met = told.select("key", F.col("seq").alias("y"), (1 - F.col("side")).alias("first"), F.when(F.col("side") == 0, F.col("end0")).otherwise(F.col("end1")).alias("end"))
+    pairs = held.join(met, ["key", "end", "first"]).where("x < y")
+    return _with_rows(pairs.selectExpr("IF(first = 0, x, y) AS seq_l", "IF(first = 0, y, x) AS seq_h"), low, high, seq)
 
 
 def _whole(value):
