@@ -102,7 +102,8 @@ def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "s
 
     def ends(pdf):
         """end0, end1: what names each row's end by either side. If it is the first in its range that is enough, the
-        range's first row names it, which itself ends no row of its range; if there is none, the first row of all."""
+        range's first row names it, which itself ends no row of its range; if there is none, the first row of all. In
+        the first range each end has its own name, as no row lies before."""
         import pandas as pd
 
         pdf = pdf.sort_values("seq")
@@ -123,7 +124,7 @@ def band_join(low: DataFrame, high: DataFrame, on: str, size: int, seq: str = "s
                 if at is None:
                     end.append(_first_of(later, limit, never))
                 else:
-                    end.append(firsts[part] if at == _first_of(rising, limit, None) else seqs[at])
+                    end.append(firsts[part] if firsts[part] != never and at == _first_of(rising, limit, None) else seqs[at])
             out[f"end{side}"] = pd.Series(end, index=pdf.index, dtype=object)
         return pd.DataFrame(out)[schema.fieldNames()]
 
