@@ -6,6 +6,7 @@ from collections import Counter
 import pandas as pd
 import pyarrow as pa
 import pytest
+from millrace.operators.ordering import slack_sorted
 from millrace.streaming import arrival, stateful
 
 
@@ -102,3 +103,18 @@ def test_tuple_counts_in_pieces(small):
         want |= {(w, i + 1, now[w]) for w in words[max(0, i - 4) : i + 1]}
     got = [tuple(r.values()) for t in tables for r in t.to_pylist()]
     assert len(got) == len(want) and set(got) == want and max(map(len, tables)) <= 50
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("slack", [0, 7, 300])
+def test_slack_sort_in_pieces(small, slack, compat, descending):
+    """What one list through the buffer gives, over two micro-batches, in pieces; integers beyond 2^53 beside nulls stay."""
+    some = random.Random(3)
+    rows = [{"seq": i, "v": some.randrange(40), "x": None if i % 3 else 2**60 + i} for i in range(2_000)]
+    schema = pa.schema([("seq", pa.int64()), ("v", pa.int64()), ("x", pa.int64())])
+    sort = stateful._SlackSort("seq", "v", slack, descending, compat)
+    tables = list(run(sort, [pieces_of(rows[:30], small, schema), pieces_of(rows[30:1_100], small, schema), pieces_of(rows[1_100:], small, schema)]))
+    want, _ = slack_sorted(rows, lambda r: r["v"], slack, descending, compat)
+    assert [r for t in tables for r in t.to_pylist()] == [r | {"out": i} for i, r in enumerate(want, 1)]
+    assert max(map(len, tables)) <= 50
