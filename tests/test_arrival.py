@@ -118,3 +118,37 @@ def test_slack_sort_in_pieces(small, slack, compat, descending):
     want, _ = slack_sorted(rows, lambda r: r["v"], slack, descending, compat)
     assert [r for t in tables for r in t.to_pylist()] == [r | {"out": i} for i, r in enumerate(want, 1)]
     assert max(map(len, tables)) <= 50
+
+
+@pytest.mark.parametrize("by_window, size", [(True, 6), (True, 200), (False, 3)])
+def test_row_join_in_pieces(small, monkeypatch, by_window, size):
+    """The pairs of rows one by one over two micro-batches, in pieces; nulls and NaN as keys."""
+    monkeypatch.setattr(stateful, "ROWS", 50)
+    some = random.Random(4)
+    key = lambda i: some.choice([None, float("nan"), 1.0, 2.0]) if by_window else some.choice([None, *[float(i // 10 + k) for k in range(4)]])
+    rows = []
+    for i in range(2_000):
+        side = some.randrange(2)
+        rows.append({"seq": i, "side": side, "l": None, "h": None} | {"lh"[side]: {"k": key(i), "x": None if i % 3 else 2**60 + i}})
+    struct = pa.struct([("k", pa.float64()), ("x", pa.int64())])
+    schema = pa.schema([("seq", pa.int64()), ("side", pa.int32()), ("l", struct), ("h", struct)])
+    batches = [pieces_of(rows[:30], small, schema), pieces_of(rows[30:1_100], small, schema), pieces_of(rows[1_100:], small, schema)]
+    tables = list(run(stateful._RowJoin("k", size, by_window), batches))
+    held, want = [[], []], []
+    for r in rows:
+        side = r["side"]
+        k = r["lh"[side]]["k"]
+        if not by_window:
+            if k is None:
+                continue
+            held[1 - side] = [e for e in held[1 - side] if e["lh"[1 - side]]["k"] > k - size]
+        for e in held[1 - side]:
+            other = e["lh"[1 - side]]["k"]
+            if k is not None and other is not None and (other == k or (other != other and k != k)):
+                low, high = (e, r) if side else (r, e)
+                want.append((low["seq"], high["seq"], low["l"]["x"], high["h"]["x"]))
+        held[side].append(r)
+        if by_window:
+            del held[side][:-size]
+    got = [(r["seq_l"], r["seq_h"], r["l"]["x"], r["h"]["x"]) for t in tables for r in t.to_pylist()]
+    assert len(want) > 500 and sorted(got, key=str) == sorted(want, key=str) and max(map(len, tables)) <= 50
